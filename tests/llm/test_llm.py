@@ -38,7 +38,7 @@ def edge(tmp_path_factory, spark):
     items.append((8, " ".join(items[1][1].split()[3:20])))
     rows += [(60, f"{text(40)} {items[0][1]} {text(10)}"), (61, f"{text(500)} {' '.join(items[1][1].split()[2:17])} Just, FOUR little words {text(9)}"), (62, " ".join(items[2][1].split()[:12]))]
     rows += [(70 + k, f"{text(50)} you stup1d idiot {text(5)}" if k % 2 else text(40)) for k in range(40)]
-    rows += [(40, None), (55, base), (10**12, text(5))]
+    rows += [(45, None), (55, base), (10**12, text(5))]
     rows.append(rows[0])
     rows.append(rows[12])
     out = tmp_path_factory.mktemp("edge")

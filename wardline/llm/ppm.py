@@ -195,19 +195,20 @@ class Model:
 def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
     """The model of all texts of ``docs``."""
     table = raw_text(docs).mapInArrow(_counted(order), COUNT)
-    levels, least = [], 1
+    tables, least = [], 1
     for k in range(order, -1, -1):
         if k < order:
             table = table.select((F.shiftright(F.col("code"), 9).bitwiseAND((1 << 8 * k) - 1) * 512 + F.col("code").bitwiseAND(511)).alias("code"), "count")
         table = written(table.groupBy("code").agg(F.sum("count").alias("count")), "counts")
-        if k == order:
-            sizes = table.groupBy(F.least("count", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect()
-            total = 0
-            for row in sizes:
-                total += row["count"]
-                if total > nodes:
-                    least = row.c + 1
-                    break
+        tables.append(table)
+        total = 0
+        for row in table.groupBy(F.least("count", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect():
+            total += row["count"]
+            if total > nodes:
+                least = max(least, row.c + 1)
+                break
+    levels = []
+    for table in tables:
         own = table.where(F.col("count") >= least).toArrow()
         code, count = own.column("code").to_numpy(), own.column("count").to_numpy()
         at = np.argsort(code)

@@ -3,8 +3,9 @@
 Windows of LENGTH bytes are routed, not shipped. The smallest hash of the K-grams inside a window depends on its content
 alone, so equal windows have equal smallest hashes; consecutive windows of a document with the same one form a run, about
 one for each forty bytes. First only (anchor, digest of the run's bytes, document, start) is shuffled. A run whose bytes came
-earlier is covered as a whole. A run whose anchor has runs of other bytes too may share some windows with them; for the
-first of each such bytes alone the bytes are fetched and looked up in a family of suffix arrays.
+earlier is covered as a whole. A run whose anchor has runs of other bytes too may share some windows with them, and one in
+which the smallest hash occurs twice may repeat its own; for the first of each such bytes alone the bytes are fetched and
+looked up in a family of suffix arrays.
 
 The family: in a partition, batches come in order of (document, start). A batch's windows are sorted into a suffix array,
 which is merge-scanned against every existing level; what is found there, or earlier in the batch, starts earlier. The
@@ -66,14 +67,27 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - step : width - step + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
-    """For each window of ``length`` bytes the smallest hash of its k-grams."""
+def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` bytes the smallest hash of its k-grams; and the hashes of all k-grams."""
     h = Grams(data).hashes(k)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return smallest(h ^ (h >> np.uint64(29)), length - k + 1)
+    h ^= h >> np.uint64(29)
+    return smallest(h, length - k + 1), h
 
 
-RUN = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("covered", T.BooleanType())])
+def twice(h: np.ndarray, least: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Whether a run's smallest hash occurs more than once in its windows, which begin at starts..ends-1 and have ``width`` hashes."""
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    largest = ~smallest(~np.concatenate((edge, least, edge)), width)
+    places = np.flatnonzero(largest == h)  # the smallest of some window
+    values, own = np.unique(h[places], return_inverse=True)
+    keys = np.sort(own.astype(np.int64) << 40 | places)
+    group = np.searchsorted(values, least[starts]).astype(np.int64) << 40
+    second = np.searchsorted(keys, group | starts) + 1
+    return (second < len(keys)) & (keys[np.minimum(second, len(keys) - 1)] < (group | ends + width - 1))
+
+
+RUN = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("covered", T.BooleanType())])
 
 
 def _runs(length: int, k: int):
@@ -81,7 +95,7 @@ def _runs(length: int, k: int):
         data = b"".join(texts)
         sizes = np.array([len(t) for t in texts])
         begins = np.cumsum(sizes) - sizes
-        least = anchors(np.frombuffer(data, dtype=np.uint8), length, k)
+        least, h = anchors(np.frombuffer(data, dtype=np.uint8), length, k)
         # The windows that cross documents are no windows.
         valid = np.ones(len(least) + 1, dtype=bool)
         valid[-1] = False
@@ -93,7 +107,7 @@ def _runs(length: int, k: int):
         ends = np.minimum(np.append(starts[1:], len(least)), stop[np.searchsorted(stop, starts)])
         owner = np.searchsorted(begins, starts, side="right") - 1
         digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
-        return [least[starts].view(np.int64), digest.view(np.int64), np.array(docs, dtype=np.int64)[owner], (starts - begins[owner]).astype(np.int32), (ends - starts).astype(np.int32)]
+        return [least[starts].view(np.int64), digest.view(np.int64), np.array(docs, dtype=np.int64)[owner], (starts - begins[owner]).astype(np.int32), (ends - starts).astype(np.int32), twice(h, least, starts, ends, length - k + 1)]
 
     def groups(batch):
         docs, texts, size = [], [], 0
@@ -223,7 +237,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -
     by = Window.partitionBy("anchor")
     one = Window.partitionBy("anchor", "run", "n", "covered").orderBy("doc_id", "start")
     seen = runs.withColumn("rank", F.dense_rank().over(one)).withColumn("low", F.min(F.when(~F.col("covered"), F.col("run"))).over(by)).withColumn("high", F.max(F.when(~F.col("covered"), F.col("run"))).over(by))
-    seen = seen.withColumn("covered", F.col("covered") | (F.col("rank") > 1)).where("covered or low != high").select("anchor", "doc_id", "start", "n", "covered")
+    seen = seen.withColumn("covered", F.col("covered") | (F.col("rank") > 1)).where("covered or twice or low != high").select("anchor", "doc_id", "start", "n", "covered")
     seen = written(seen, "runs")
     whole = seen.where("covered").select("doc_id", "start", "n")
     firsts = seen.where("not covered")
