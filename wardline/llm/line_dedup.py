@@ -163,40 +163,40 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return suspects.join(confirmed, "digest").where("doc_id != stays").select("doc_id", "digest")
 
 
-OUT = T.StructField(PRIVATE + "out", T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+OUT = T.StructField(PRIVATE + "out", T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def _kept(least: int, names: list[str]):
     def run(batches):
-        for batch in batches:
-            texts, totals, dropped = [], [], []
-            for text, drop in zip(column(batch, PRIVATE + "raw"), column(batch, PRIVATE + "drop"), strict=True):
-                lines = (text or b"").split(b"\n")
+        for batch in pieces(batches, 8 << 20):
+            raw = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            totals, dropped = [], []
+            for k, drop in enumerate(column(batch, PRIVATE + "drop")):
+                lines = (raw[k] or b"").split(b"\n")
                 kept = lines
                 if drop:
                     drop = set(drop)
-                    kept = [x for x, d in zip(lines, digests(text, least), strict=True) if d not in drop]
-                texts.append(b"\n".join(kept))
+                    kept = [x for x, d in zip(lines, digests(raw[k], least), strict=True) if d not in drop]
+                    raw[k] = b"\n".join(kept)
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            out = pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), out], names=[*names, PRIVATE + "out"])
+            out = pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=["n_lines", "n_dropped"])
+            text = pa.array(raw, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(text if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names), out], names=[*names, PRIVATE + "out"])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with one more column, ``__wl_out``: the text that is left, n_lines and n_dropped."""
+    """``docs`` with the text that is left (a null text stays null) and one more column, ``__wl_out``, of n_lines and n_dropped."""
     drops = repeated_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias(PRIVATE + "drop")).withColumnRenamed("doc_id", PRIVATE + "id")
-    joined = docs.join(drops, docs["doc_id"] == drops[PRIVATE + "id"], "left").drop(PRIVATE + "id").withColumn(PRIVATE + "raw", docs["text"].cast("binary"))
+    joined = docs.join(drops, docs["doc_id"] == drops[PRIVATE + "id"], "left").drop(PRIVATE + "id")
     return joined.mapInArrow(_kept(min_chars, docs.columns), extended(docs, [OUT]))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with the text that is left. A null text stays null, n_chars follows the text."""
-    text = F.when(F.col("text").isNotNull(), F.col(PRIVATE + "out.text"))
-    done = dedup_lines(docs).withColumn("text", text)
-    return with_length(done).select(*docs.columns)
+    return with_length(dedup_lines(docs)).select(*docs.columns)
 
 
 def with_length(docs: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import batch_of, column, estimated_bytes, pieces, raw_text
 
 TOKENS, END = 4096, 1
-#: Most distinct words whose ids a worker keeps; when full the memory is emptied.
-MEMORY = 400_000
+#: Most distinct words whose ids a worker keeps, those it meets first; the ids of others are found anew in each batch.
+MEMORY = 700_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -35,20 +35,35 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
+
+    def fresh(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept. A comma or full stop after a letter is a token of its own and ASCII is lower-cased, so words that differ in these share their stem's ids."""
+        stems = {}
+        for w in words:
+            mark = w[-1] if w[-1:] in (",", ".") and w[-2:-1].isalpha() else ""
+            stem = w[: len(w) - len(mark)]
+            stems[w] = stem.lower() if stem.isascii() else stem, mark
+        known = self.known
+        own = self.encoded(list({x for pair in stems.values() for x in pair if x not in known}))
+        if len(known) < MEMORY:
+            known.update(own)
+        out = {w: (known[a] if a in known else own[a]) + (known[b] if b in known else own[b]) for w, (a, b) in stems.items()}
+        if len(known) < MEMORY:
+            known.update(out)
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(x.ids, dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        divided = [t.replace("\n", " ").split(" ") for t in texts]
+        new: set[str] = set()
+        for words in divided:
+            new.update([w for w in words if w not in known])
+        own = self.fresh(new) if new else {}
+        return [b"".join([known[w] if w in known else own[w] for w in words]) for words in divided]
 
 
 _words: dict[str, Words] = {}
@@ -68,8 +83,9 @@ def _pieces(path: str, tokens: int, end: int):
         words = _words[path] = _words.get(path) or Words(path)
         for batch in pieces(batches, 4 << 20):
             rows = []
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                ids = words.ids(text or "") + np.array([end], dtype="<u4").tobytes()
+            texts = [x or "" for x in column(batch, "text")]
+            for doc, ids in zip(column(batch, "doc_id"), words.ids(texts), strict=True):
+                ids += np.array([end], dtype="<u4").tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * tokens)):
                     own = ids[at : at + 4 * tokens]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = PRIVATE + "out"
     done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
-    return done.select("doc_id", F.col(out + ".n_lines").alias("n_lines"), F.col(out + ".n_dropped").alias("n_dropped"), F.sha2(F.col(out + ".text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", F.col(out + ".n_lines").alias("n_lines"), F.col(out + ".n_dropped").alias("n_dropped"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
