@@ -14,7 +14,9 @@ shorter. Rows that repeat a doc_id are packed once each. An empty table gives an
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 from .common import batch_of, column, estimated_bytes, pieces, raw_text
 
 TOKENS, END = 4096, 1
-#: Most distinct words whose ids a worker keeps, those it meets first; the ids of others are found anew in each batch.
-MEMORY = 700_000
+#: Most distinct words whose ids a worker keeps: those that it meets in two batches, and those that it has met in one lately.
+MEMORY, LATELY = 500_000, 250_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -33,37 +35,53 @@ class Words:
     """Ids of whole texts, as packed 32-bit numbers. The tokenizer never joins what a space or newline divides, so words are looked up one by one."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are the executor's to share out
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.lately = Tokenizer.from_file(path), {}, {}
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
+        out = {}
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            out.update((w, array("I", x.ids).tobytes()) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return out
 
     def fresh(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept. A comma or full stop after a letter is a token of its own and ASCII is lower-cased, so words that differ in these share their stem's ids."""
-        stems = {}
+        out, stems, known, lately = {}, {}, self.known, self.lately
         for w in words:
+            if (ids := lately.get(w)) is not None:
+                out[w] = ids
+                continue
             mark = w[-1] if w[-1:] in (",", ".") and w[-2:-1].isalpha() else ""
             stem = w[: len(w) - len(mark)]
             stems[w] = stem.lower() if stem.isascii() else stem, mark
-        known = self.known
-        own = self.encoded(list({x for pair in stems.values() for x in pair if x not in known}))
-        if len(known) < MEMORY:
-            known.update(own)
-        out = {w: (known[a] if a in known else own[a]) + (known[b] if b in known else own[b]) for w, (a, b) in stems.items()}
         if len(known) < MEMORY:
             known.update(out)
-        return out
+        own = {x: known.get(x, lately.get(x)) for pair in stems.values() for x in pair}
+        own |= self.encoded([x for x, ids in own.items() if ids is None])
+        own.update((w, own[a] + own[b]) for w, (a, b) in stems.items())
+        if len(lately) + len(own) > LATELY:
+            lately.clear()
+        lately.update(own)
+        return out | own
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        divided = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in divided:
-            new.update([w for w in words if w not in known])
-        own = self.fresh(new) if new else {}
-        return [b"".join([known[w] if w in known else own[w] for w in words]) for words in divided]
+        found, missed = [], []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            own = list(map(known.get, words))
+            found.append(own)
+            if None in own:
+                missed.append((own, [(k, words[k]) for k, ids in enumerate(own) if ids is None]))
+        if missed:
+            fresh = self.fresh({w for _, at in missed for _, w in at})
+            for own, at in missed:
+                for k, w in at:
+                    own[k] = fresh[w]
+        return [b"".join(own) for own in found]
 
 
 _words: dict[str, Words] = {}
@@ -81,7 +99,7 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piec
 def _pieces(path: str, tokens: int, end: int):
     def run(batches):
         words = _words[path] = _words.get(path) or Words(path)
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, 16 << 20):
             rows = []
             texts = [x or "" for x in column(batch, "text")]
             for doc, ids in zip(column(batch, "doc_id"), words.ids(texts), strict=True):
