@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, estimated_bytes, pieces, raw_text
+from .common import batch_of, column, estimated_bytes, pieces
+from .word_bpe import WordBpe
 
 TOKENS, END = 4096, 1
 #: Most distinct words whose ids a worker keeps: those that it meets in two batches, and those that it has met in one lately.
@@ -39,6 +40,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.lately = Tokenizer.from_file(path), {}, {}
+        self.plain = WordBpe(path)
+        self.marks = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         out = {}
@@ -48,24 +51,20 @@ class Words:
         return out
 
     def fresh(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept. A comma or full stop after a letter is a token of its own and ASCII is lower-cased, so words that differ in these share their stem's ids."""
-        out, stems, known, lately = {}, {}, self.known, self.lately
-        for w in words:
-            if (ids := lately.get(w)) is not None:
-                out[w] = ids
-                continue
-            mark = w[-1] if w[-1:] in (",", ".") and w[-2:-1].isalpha() else ""
-            stem = w[: len(w) - len(mark)]
-            stems[w] = stem.lower() if stem.isascii() else stem, mark
-        if len(known) < MEMORY:
-            known.update(out)
-        own = {x: known.get(x, lately.get(x)) for pair in stems.values() for x in pair}
-        own |= self.encoded([x for x, ids in own.items() if ids is None])
-        own.update((w, own[a] + own[b]) for w, (a, b) in stems.items())
+        """Ids of words that aren't kept. What comes for the second time is kept from now on."""
+        lately = self.lately
+        again = {w: lately[w] for w in words if w in lately}
+        if len(self.known) < MEMORY:
+            self.known.update(again)
+        new, own = [w for w in words if w not in again], {}
+        for at in range(0, len(new), 16384):
+            plain, rest = self.plain.encode(new[at : at + 16384], self.marks)
+            own |= plain
+            own |= self.encoded(rest)
         if len(lately) + len(own) > LATELY:
             lately.clear()
         lately.update(own)
-        return out | own
+        return own | again
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -99,7 +98,7 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piec
 def _pieces(path: str, tokens: int, end: int):
     def run(batches):
         words = _words[path] = _words.get(path) or Words(path)
-        for batch in pieces(batches, 16 << 20):
+        for batch in pieces(batches, 12 << 20):
             rows = []
             texts = [x or "" for x in column(batch, "text")]
             for doc, ids in zip(column(batch, "doc_id"), words.ids(texts), strict=True):
