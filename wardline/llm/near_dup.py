@@ -8,9 +8,12 @@ and equal, with both set sizes known; it goes on unless the threshold is less li
 rest is verified on the full sets of 64-bit shingle hashes.
 
 No bucket's pairs are all emitted. Copies of one set form a class with one representative. PIVOT_ROUNDS rounds pair each
-member of a bucket with a pivot of the bucket; verified links join components, and a bucket of one component is done.
-Only pairs of one bucket and two components are left for the last round, which takes every one of them, so no link
-between different components is lost. Components are found by large-star/small-star contraction on tables in the shared
+member of a bucket with a pivot of the bucket, the member that meets most others in all its buckets: of texts made from one
+original, which may be far from one another, that is the original. Verified links join components, and a bucket of one
+component is done.
+What is left for the last round are the members of buckets of several components. Texts around one passage are many and alike
+but below the threshold, so their pairs are not all taken: a pair at the threshold has a shingle in common among the rarest
+fifth (and one) of either set, and just the pairs that have are taken. None at the threshold is lost by that. Components are found by large-star/small-star contraction on tables in the shared
 folder; nothing of the documents reaches the driver but counts.
 
 Cases: a null, empty or blank text has no set, forms its own component and stays. Fewer words than a shingle's make one
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +192,19 @@ def _links(percent: int):
     return run
 
 
+SHINGLE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingle", T.LongType())])
+
+
+def _exploded(words: int):
+    def run(batches):
+        for batch in pieces(batches, 1 << 20):
+            found = [(doc, shingles(x, words)) for doc, x in zip(column(batch, "doc_id"), column(batch, "text"), strict=True)]
+            if found:
+                yield batch_of(SHINGLE, [np.repeat([d for d, _ in found], [len(h) for _, h in found]), np.concatenate([h for _, h in found]).view(np.int64)])
+
+    return run
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """(rep, component): the smallest id of each node's component, by large-star/small-star contraction."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
@@ -222,6 +238,27 @@ class _Search:
         return written(likely.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(_links(self.percent), PAIR), "links")
 
 
+    def rare_meetings(self, members: DataFrame) -> DataFrame:
+        """Pairs of ``members`` (rep, n, component) of different components with a common shingle in both prefixes: the rarest of each set, as many
+        as a partner at the threshold can't all miss."""
+        members = members.distinct()
+        ids = members.select(F.col("rep").alias("doc_id")).distinct()
+        found = written(raw_text(self.docs).join(ids, "doc_id", "left_semi").mapInArrow(_exploded(self.words), SHINGLE).distinct(), "shingles")
+        counts = found.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        common = found.join(counts, "shingle").join(members, "rep")
+        by = Window.partitionBy("rep")
+        rank = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "shingle"))
+        prefix = F.col("n") - F.expr(f"(n * {self.percent} + 99) div 100") + 1
+        kept = common.withColumn("rank", rank).where(F.col("rank") <= prefix).select("shingle", "rep", "n", "component", "rank")
+        several = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+        kept = written(kept.join(several, "shingle", "left_semi"), "prefixes")
+        other = kept.select("shingle", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("rank").alias("rank2"))
+        # What a pair has in common is not before its first common shingle in either set.
+        enough = f"{100 + self.percent} * (1 + least(n - rank, m - rank2)) >= {self.percent} * (n + m)"
+        pairs = kept.join(other, "shingle").where(enough).where(f"rep > b and component != c and 100 * least(n, m) >= {self.percent} * greatest(n, m)")
+        return pairs.select(F.col("rep").alias("a"), "b")
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     docs = docs.select("doc_id", "text")
@@ -230,25 +267,27 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     reps = written(classes, "classes")
     banded = reps.select("rep", "n", "registers").mapInArrow(_bands, BANDED)
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("bucket", F.col("low").alias("pivot"))
+    shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low != high").select("bucket", "size")
     members = written(banded.join(shared, "bucket"), "members")
+    central = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    members = written(members.drop("size").join(central, "rep"), "members")
+    pivot = F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot")
     search = _Search(docs, reps, words, percent)
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     # Round one: each member and the pivot that it shares most buckets with.
-    met = members.where("rep != pivot").groupBy("rep", "pivot").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
+    met = members.join(members.groupBy("bucket").agg(pivot), "bucket").where("rep != pivot").groupBy("rep", "pivot").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
     tried = written(met.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "tried")
     links = search.verified(tried)
     labels = written(contracted(links), "labels")
     for turn in range(1, PIVOT_ROUNDS + 1):
-        here = members.select("bucket", "rep", "n").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_up = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot")).where("low != high").select("bucket", "pivot")
+        here = members.select("bucket", "rep", "n", "met").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed_up = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("bucket", "pivot")
         open_ = written(here.join(mixed_up, "bucket"), "open")
         if turn < PIVOT_ROUNDS:
             other = open_.where("rep = pivot").select("bucket", F.col("n").alias("m"), F.col("component").alias("c"))
             pairs = open_.join(other, "bucket").where(fits).where("component != c").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         else:
-            other = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = open_.select("bucket", F.col("rep").alias("a"), "n", "component").join(other, "bucket").where("a > b").where(fits).where("component != c").select("a", "b")
+            pairs = search.rare_meetings(open_.select("rep", "n", "component"))
         new = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         new = written(new.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "tried")
         links = links.union(search.verified(new))

@@ -28,7 +28,7 @@ from .word_bpe import WordBpe
 
 TOKENS, END = 4096, 1
 #: Most distinct words whose ids a worker keeps: those that it meets in two batches, and those that it has met in one lately.
-MEMORY, LATELY = 500_000, 250_000
+MEMORY, LATELY = 250_000, 100_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -98,7 +98,7 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piec
 def _pieces(path: str, tokens: int, end: int):
     def run(batches):
         words = _words[path] = _words.get(path) or Words(path)
-        for batch in pieces(batches, 12 << 20):
+        for batch in pieces(batches, 8 << 20):
             rows = []
             texts = [x or "" for x in column(batch, "text")]
             for doc, ids in zip(column(batch, "doc_id"), words.ids(texts), strict=True):
