@@ -16,6 +16,25 @@ PRIVATE = "__wl_"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Most rows of an Arrow batch: with texts of a few kilobytes a batch takes some megabytes on either side.
+BATCH_ROWS = 2000
+#: Most ids that are broadcast to pick rows by.
+BROADCAST_IDS = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for plans made from here on, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def within(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id is among ``ids``, which are counted: few are broadcast, more are shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,11 +59,13 @@ def estimated_bytes(df: DataFrame, unknown: int = 1 << 30) -> int:
 
 def raw_text(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text's UTF-8 bytes and ``more``. Other columns are left behind, so none can clash."""
+    small_batches(df.sparkSession)
     return df.select("doc_id", *more, F.col("text").cast("binary").alias("text"))
 
 
 def extended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """The schema of ``df`` and ``fields``."""
+    small_batches(df.sparkSession)
     return T.StructType([*df.schema.fields, *fields])
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, pieces, raw_text, written
+from .common import PRIVATE, batch_of, column, pieces, raw_text, within, written
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -233,7 +233,7 @@ class _Search:
         b = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent), PAIR), "likely")
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(raw_text(self.docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.words), SET), "sets")
+        sets = written(within(raw_text(self.docs), ids).mapInArrow(_sets(self.words), SET), "sets")
         x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
         return written(likely.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(_links(self.percent), PAIR), "links")
 
@@ -243,7 +243,7 @@ class _Search:
         as a partner at the threshold can't all miss."""
         members = members.distinct()
         ids = members.select(F.col("rep").alias("doc_id")).distinct()
-        found = written(raw_text(self.docs).join(ids, "doc_id", "left_semi").mapInArrow(_exploded(self.words), SHINGLE).distinct(), "shingles")
+        found = written(within(raw_text(self.docs), ids).mapInArrow(_exploded(self.words), SHINGLE).distinct(), "shingles")
         counts = found.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         common = found.join(counts, "shingle").join(members, "rep")
         by = Window.partitionBy("rep")

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, estimated_bytes, pieces
+from .common import batch_of, column, estimated_bytes, pieces, small_batches, written
 from .word_bpe import WordBpe
 
 TOKENS, END = 4096, 1
 #: Most distinct words whose ids a worker keeps: those that it meets in two batches, and those that it has met in one lately.
-MEMORY, LATELY = 250_000, 100_000
+MEMORY, LATELY = 200_000, 100_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -113,6 +113,7 @@ def _pieces(path: str, tokens: int, end: int):
 
 def cut(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, end: int = END) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), tokens, end), PIECE)
 
 
@@ -183,8 +184,6 @@ def _place(table: np.ndarray):
 def pack(docs: DataFrame, tokens: int = TOKENS, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm", path: str | None = None, end: int = END) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset there. ``documents`` and ``attention`` cap a sequence's
     pieces and sum of squared lengths; left out, they are what the token capacity implies."""
-    from .common import written
-
     cut_up = written(cut(docs, tokens, path, end), "pieces")
     found = patterns({r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}, tokens, documents, attention, weights, rule)
     salts = max(1, min(4096, estimated_bytes(cut_up) // (8 << 20)))
