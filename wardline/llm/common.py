@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +25,13 @@ BATCH_ROWS = 2000
 BROADCAST_IDS = 1 << 20
 
 
+def released() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches for plans made from here on, if they are larger."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

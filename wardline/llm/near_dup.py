@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, pieces, raw_text, within, written
+from .common import PRIVATE, batch_of, column, pieces, raw_text, released, within, written
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -128,6 +128,7 @@ def _sketch(words: int):
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 own.append(registers(h).tobytes() if len(h) else None)
             yield batch_of(SKETCH, [batch.column(0), n, digest, own])
+        released()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, estimated_bytes, pieces, small_batches, written
+from .common import batch_of, column, estimated_bytes, pieces, released, small_batches, written
 from .word_bpe import WordBpe
 
 TOKENS, END = 4096, 1
@@ -107,6 +107,10 @@ def _pieces(path: str, tokens: int, end: int):
                     own = ids[at : at + 4 * tokens]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
             yield batch_of(PIECE, list(zip(*rows, strict=True)) or [[]] * 5)
+        # A worker lives on after its task; what it has learnt here would take memory from other operators.
+        del words
+        _words.clear()
+        released()
 
     return run
 
