@@ -28,6 +28,7 @@ BROADCAST_IDS = 1 << 20
 def released() -> None:
     """Gives memory that a worker has freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -101,5 +102,25 @@ def pieces(batches, limit: int = 16 << 20, column: str = "text"):
             yield batch.slice(at, step)
 
 
+def joined(batches, limit: int, column: str = "text"):
+    """The rows of the batches in parts of about ``limit`` bytes of text (a single longer text stays whole)."""
+    held, size = [], 0
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in pieces(batches, limit, column):
+        own = batch.column(batch.schema.get_field_index(column)).nbytes
+        if held and size + own > limit:
+            yield whole()
+            held.clear()
+            size = 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield whole()
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -16,74 +16,104 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, estimated_bytes, pieces, released, small_batches, written
-from .word_bpe import WordBpe
+from .common import batch_of, estimated_bytes, joined, released, small_batches, written
+from .word_bpe import WordBpe, spread
 
 TOKENS, END = 4096, 1
-#: Most distinct words whose ids a worker keeps: those that it meets in two batches, and those that it has met in one lately.
-MEMORY, LATELY = 200_000, 100_000
+#: Most distinct words whose ids a worker keeps from one part of its texts to the next.
+MEMORY = 400_000
+#: Bytes of text that are tokenized together.
+PART = 12 << 20
 VOCABULARY = "word_bpe_49k.json"
+SPACE, NEWLINE = 32, 10
 
 
 class Words:
-    """Ids of whole texts, as packed 32-bit numbers. The tokenizer never joins what a space or newline divides, so words are looked up one by one."""
+    """Ids of whole texts. The tokenizer never joins what a space or newline divides, so each distinct word is looked up once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are the executor's to share out
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.lately = Tokenizer.from_file(path), {}, {}
-        self.plain = WordBpe(path)
-        self.marks = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
-
-    def encoded(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            out.update((w, array("I", x.ids).tobytes()) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return out
-
-    def fresh(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept. What comes for the second time is kept from now on."""
-        lately = self.lately
-        again = {w: lately[w] for w in words if w in lately}
-        if len(self.known) < MEMORY:
-            self.known.update(again)
-        new, own = [w for w in words if w not in again], {}
-        for at in range(0, len(new), 16384):
-            plain, rest = self.plain.encode(new[at : at + 16384], self.marks)
-            own |= plain
-            own |= self.encoded(rest)
-        if len(lately) + len(own) > LATELY:
-            lately.clear()
-        lately.update(own)
-        return own | again
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        found, missed = [], []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            own = list(map(known.get, words))
-            found.append(own)
-            if None in own:
-                missed.append((own, [(k, words[k]) for k, ids in enumerate(own) if ids is None]))
-        if missed:
-            fresh = self.fresh({w for _, at in missed for _, w in at})
-            for own, at in missed:
-                for k, w in at:
-                    own[k] = fresh[w]
-        return [b"".join(own) for own in found]
-
-
-_words: dict[str, Words] = {}
+        self.tokenizer, self.plain = Tokenizer.from_file(path), WordBpe(path)
+        self.marks = {ord(c): np.array(self._library([c])[0], dtype=np.int32) for c in ",."}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.count = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Adds the ids of words that aren't known yet. A word may have the space behind it that ends it."""
+        if len(self.known) + len(words) > MEMORY:
+            self._forget()
+        start, data = _layout(words)
+        size = np.diff(start)
+        begin = start[:-1]
+        size = size - (data[np.maximum(start[1:] - 1, 0)] == SPACE) if len(size) else size
+        at, count, flat = self.plain.encode(data, begin, size, self.marks)
+        rest = np.ones(len(size), dtype=bool)
+        rest[at] = False
+        rest = np.flatnonzero(rest)
+        raw = data.tobytes()
+        texts = [raw[i : i + n].decode() for i, n in zip(begin[rest].tolist(), size[rest].tolist(), strict=True)]
+        counts, ids = [count], [flat]
+        for k in range(0, len(texts), 4096):
+            own = self._library(texts[k : k + 4096])
+            counts.append(np.array([len(x) for x in own], dtype=np.int64))
+            ids.append(np.fromiter(chain.from_iterable(own), dtype=np.uint32))
+        order = pa.array(np.concatenate([at, rest]))
+        self.known = pa.concat_arrays([self.known, words.take(order)])
+        self.count = np.concatenate([self.count, *counts])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after the other, the number of each text's)."""
+        bounds, data = _layout(texts)
+        data = np.where(data == NEWLINE, np.uint8(SPACE), data)
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:] = data == SPACE
+        cut[bounds] = True
+        cuts = np.flatnonzero(cut)
+        if len(cuts) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        offsets = pa.py_buffer(cuts.astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        distinct, index = words.dictionary, words.indices.to_numpy()
+        place = pc.index_in(distinct, value_set=self.known)
+        if place.null_count:
+            held = len(self.known)
+            fresh = distinct.filter(place.is_null())
+            self._learn(fresh)
+            if len(self.known) < held + len(fresh):  # what was known has been dropped
+                self._forget()
+                self._learn(distinct)
+            place = pc.index_in(distinct, value_set=self.known)
+        place = place.to_numpy()
+        start = (np.cumsum(self.count) - self.count)[place][index]
+        count = self.count[place][index]
+        before = np.concatenate([[0], np.cumsum(count)])
+        return self.flat[spread(start, count)], np.diff(before[np.searchsorted(cuts, bounds)])
+
+
+def _layout(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins and the last one ends, and the bytes of all."""
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    if not len(offsets) or values.buffers()[2] is None:
+        return np.zeros(len(values) + 1, np.int64), np.zeros(0, np.uint8)
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -96,20 +126,26 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piec
 
 
 def _pieces(path: str, tokens: int, end: int):
+    def cut_up(words, docs, texts):
+        ids, count = words.ids(texts)
+        ids = np.insert(ids, np.cumsum(count), end).astype("<u4")
+        count = count + 1
+        parts = -(-count // tokens)
+        first = np.cumsum(count) - count
+        piece = spread(np.zeros_like(parts), parts)
+        at = piece * tokens
+        length = np.minimum(np.repeat(count, parts) - at, tokens)
+        whole = memoryview(ids).cast("B")
+        crc = [zlib.crc32(whole[4 * a : 4 * (a + n)]) for a, n in zip((np.repeat(first, parts) + at).tolist(), length.tolist(), strict=True)]
+        return batch_of(PIECE, [docs.take(pa.array(np.repeat(np.arange(len(count)), parts))), piece, at, length, crc])
+
     def run(batches):
-        words = _words[path] = _words.get(path) or Words(path)
-        for batch in pieces(batches, 8 << 20):
-            rows = []
-            texts = [x or "" for x in column(batch, "text")]
-            for doc, ids in zip(column(batch, "doc_id"), words.ids(texts), strict=True):
-                ids += np.array([end], dtype="<u4").tobytes()
-                for k, at in enumerate(range(0, len(ids), 4 * tokens)):
-                    own = ids[at : at + 4 * tokens]
-                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield batch_of(PIECE, list(zip(*rows, strict=True)) or [[]] * 5)
+        words = Words(path)
+        for batch in joined(batches, PART):
+            docs, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            yield cut_up(words, docs, texts.fill_null(b""))
         # A worker lives on after its task; what it has learnt here would take memory from other operators.
         del words
-        _words.clear()
         released()
 
     return run
@@ -118,7 +154,7 @@ def _pieces(path: str, tokens: int, end: int):
 def cut(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, end: int = END) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), tokens, end), PIECE)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(path or tokenizer_path(), tokens, end), PIECE)
 
 
 def patterns(counts: dict[int, int], tokens: int = TOKENS, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "dot") -> list[tuple[int, list[tuple[int, int]]]]:
@@ -190,7 +226,7 @@ def pack(docs: DataFrame, tokens: int = TOKENS, documents: int | None = None, at
     pieces and sum of squared lengths; left out, they are what the token capacity implies."""
     cut_up = written(cut(docs, tokens, path, end), "pieces")
     found = patterns({r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}, tokens, documents, attention, weights, rule)
-    salts = max(1, min(4096, estimated_bytes(cut_up) // (8 << 20)))
+    salts = max(64, min(4096, estimated_bytes(cut_up) // (8 << 20)))
     salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("k"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,8 +11,9 @@ import json
 
 import numpy as np
 
-LONGEST = 24
-NONE = 1 << 30
+#: Most bytes of a word that is done here, without its mark.
+LONGEST = 40
+NONE, PAD = 1 << 30, (1 << 20) - 1
 
 
 def byte_names() -> list[str]:
@@ -22,22 +23,28 @@ def byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run of ``count``, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
-        self.inner = np.array([vocabulary[c] for c in byte_names()], dtype=np.int64)
-        self.outer = np.array([vocabulary[c + end] for c in byte_names()], dtype=np.int64)
+        self.inner = np.array([vocabulary[c] for c in byte_names()], dtype=np.int32)
+        self.outer = np.array([vocabulary[c + end] for c in byte_names()], dtype=np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], dtype=np.int64)
-        new = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
-        rank = np.arange(len(keys))
+        new = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int32)
+        rank = np.arange(len(keys), dtype=np.int32)
         # Open addressing: where a pair's slot is taken it goes to the next one.
         self.bits = 18
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.rank = np.full(1 << self.bits, NONE, dtype=np.int32)
-        self.new = np.zeros(1 << self.bits, dtype=np.int64)
+        self.new = np.zeros(1 << self.bits, dtype=np.int32)
         self.most, left = 0, np.arange(len(keys))
         while left.size:
             slot = self._slot(keys[left], self.most)
@@ -50,14 +57,16 @@ class WordBpe:
 
     def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
         hashed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
-        return (hashed.astype(np.int64) + step) & (1 << self.bits) - 1
+        return (hashed.astype(np.int32) + step) & (1 << self.bits) - 1
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair, NONE if it has none, and the slot."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         slot = self._slot(key, 0)
-        rank = np.where(self.keys[slot] == key, self.rank[slot], NONE)
-        open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != -1))
+        held = self.keys[slot]
+        same = held == key
+        rank = np.where(same, self.rank[slot], np.int32(NONE))
+        open_ = np.flatnonzero(~same & (held != -1))
         for step in range(1, self.most):
             if not open_.size:
                 break
@@ -68,96 +77,77 @@ class WordBpe:
             open_ = open_[~ok & (held != -1)]
         return rank, slot
 
-    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the lower-cased letters, lengths, marks (the code, or 0) and whether the word is one that is done here."""
-        wide = LONGEST + 1
-        codes = np.array(words, dtype=f"U{wide}").view(np.uint32).reshape(len(words), wide)
-        length = (codes != 0).sum(axis=1)
-        real = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        letter = ((codes | 32) - 97 < 26) & (codes < 128) | (codes >= 0xC0) & (codes <= 0xFF) & (codes != 0xD7) & (codes != 0xF7)
-        rows = np.arange(len(words))
-        last = codes[rows, np.maximum(length - 1, 0)]
-        mark = np.where(((last == 44) | (last == 46)) & (length > 1), last, 0)
-        stem = length - (mark > 0)
-        ok = (real == length) & (stem > 0) & (stem <= LONGEST) & ((letter | (np.arange(wide) >= stem[:, None])).all(axis=1))
-        upper = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7)
-        return np.where(upper, codes + 32, codes), stem, mark, ok
-
-    def encode(self, words: list[str], marks: dict[int, np.ndarray]) -> tuple[dict[str, bytes], list[str]]:
-        """Packed ids of the plain words, and the other words. marks: ids of the comma and the full stop by code."""
-        if not words:
-            return {}, []
-        codes, stem, mark, ok = self.plain(words)
-        rows = np.flatnonzero(ok)
-        own = [words[i] for i in rows.tolist()]
-        rest = [words[i] for i in np.flatnonzero(~ok).tolist()]
-        if not own:
-            return {}, rest
-        codes, stem, mark = codes[rows], stem[rows], mark[rows]
-        inside = np.arange(codes.shape[1]) < stem[:, None]
-        two = inside & (codes >= 128)
-        # Two bytes for each letter, of which ASCII uses the second.
-        first = np.where(two, 0xC3, 0)
-        second = np.where(two, codes & 0x3F | 0x80, codes)
-        both = np.stack([first, second], axis=2).reshape(len(own), -1)
-        used = np.stack([two, inside], axis=2).reshape(len(own), -1)
-        size = used.sum(axis=1)
-        table = np.full((len(own), 2 * LONGEST), 0, dtype=np.int64)
-        table[np.arange(2 * LONGEST) < size[:, None]] = both[used]
-        order = np.argsort(size, kind="stable")
-        out: dict[str, bytes] = {}
-        for part in np.array_split(order, max(1, len(order) // 8192)):
-            self._merge([own[i] for i in part.tolist()], table[part], size[part], mark[part], marks, out)
-        return out, rest
-
-    def _merge(self, words, data, size, mark, marks, out) -> None:
-        wide = int(size.max())
-        data = data[:, :wide]
-        at = np.arange(wide)
-        symbols = np.where(at == size[:, None] - 1, self.outer[data], self.inner[data])
-        symbols = np.where(at < size[:, None], symbols, (1 << 20) - 1)
-        rank, slot = (x.reshape(len(words), -1) for x in self._find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
-        rank, slot = np.pad(rank, ((0, 0), (0, 1)), constant_values=NONE), np.pad(slot, ((0, 0), (0, 1)))
-        ids = symbols.copy()
-        live = np.arange(len(words))
+    def encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, marks: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which words are plain, their numbers of ids, their ids one after the other).
+
+        Word i is the UTF-8 bytes data[start[i] : start[i] + size[i]]; marks: ids of the comma and the full stop by code.
+        """
+        last = data[start + np.maximum(size, 1) - 1] if len(size) else np.zeros(0, np.uint8)
+        mark = np.where(np.isin(last, list(marks)) & (size > 1), last, 0)
+        stem = size - (mark > 0)
+        short = np.flatnonzero((stem > 0) & (stem <= LONGEST))
+        found = []
+        order = short[np.argsort(stem[short], kind="stable")]
+        for own in np.array_split(order, max(1, len(order) // 8192)):
+            if own.size:
+                found.append(self._part(data, start[own], stem[own], mark[own], marks, own))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _part(self, data, start, stem, mark, marks, own):
+        at = np.arange(int(stem.max()))
+        raw = data[np.minimum(start[:, None] + at, len(data) - 1)]
+        inside = at < stem[:, None]
+        lead = raw == 0xC3
+        second = np.zeros_like(lead)
+        second[:, 1:] = lead[:, :-1]
+        letter = ((raw | 32) - np.uint8(97) < 26) & (raw < 128)
+        ok = ((letter | lead | second & (raw != 0x97) & (raw != 0xB7)) | ~inside).all(axis=1)
+        raw, inside, second, letter, stem, mark, own = (x[ok] for x in (raw, inside, second, letter, stem, mark, own))
+        raw = np.where(letter | second & (raw <= 0x9E), raw | 32, raw)
+        ids = self._merge(raw, inside, stem)
+        count = (ids != PAD).sum(axis=1)
+        width = ids.shape[1]
+        more = max(map(len, marks.values()))
+        whole = np.full((len(own), width + more), PAD, dtype=np.int32)
+        whole[:, :width] = ids
+        for code, x in marks.items():
+            whole[mark == code, width : width + len(x)] = x
+            count = count + len(x) * (mark == code)
+        return own, count, whole[whole != PAD].astype(np.uint32)
+
+    def _merge(self, raw: np.ndarray, inside: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbols of each row after all merges. A symbol stays at its first byte's place; the places it has taken in are PAD."""
+        rows, n = raw.shape
+        at = np.arange(n)
+        # Two more columns stand for what lies beyond either end: n behind and n + 1 before.
+        wide = n + 2
+        symbols = np.full((rows, wide), PAD, dtype=np.int32)
+        symbols[:, :n] = np.where(at == size[:, None] - 1, self.outer[raw], self.inner[raw])
+        symbols[:, :n][~inside] = PAD
+        rank, slot = np.full((rows, wide), NONE, dtype=np.int32), np.zeros((rows, wide), dtype=np.int32)
+        found = self._find(symbols[:, :n].ravel(), symbols[:, 1 : n + 1].ravel())
+        rank[:, :n], slot[:, :n] = (x.reshape(rows, n) for x in found)
+        after = np.broadcast_to(np.concatenate([at + 1, [n, 0]]), (rows, wide)).astype(np.int32, order="C")
+        before = np.broadcast_to(np.concatenate([[n + 1], at, [n + 1]]), (rows, wide)).astype(np.int32, order="C")
+        out, live = symbols[:, :n].copy(), np.arange(rows)
         while live.size:
             j = rank.argmin(axis=1)
-            row = np.arange(len(live))
-            go = rank[row, j] < NONE
-            if not go.all():
-                ids[live[~go], :] = np.pad(symbols[~go], ((0, 0), (0, wide - symbols.shape[1])), constant_values=(1 << 20) - 1)
-                live, symbols, rank, slot, j = live[go], symbols[go], rank[go], slot[go], j[go]
-                row = np.arange(len(live))
-                if not live.size:
-                    break
-            symbols[row, j] = self.new[slot[row, j]]
-            # What stands behind the pair moves up by one.
-            n = symbols.shape[1]
-            place = np.minimum(np.arange(n) + (np.arange(n) > j[:, None]), n - 1)
-            end = symbols[row, n - 1]
-            symbols, rank, slot = (np.take_along_axis(x, place, axis=1) for x in (symbols, rank, slot))
-            symbols[:, n - 1] = np.where(j == n - 1, end, (1 << 20) - 1)
-            rank[:, n - 1] = NONE
-            after = np.minimum(j + 1, n - 1)
-            rank[row, j], slot[row, j] = self._find(symbols[row, j], np.where(j + 1 < n, symbols[row, after], (1 << 20) - 1))
-            some = np.flatnonzero(j > 0)
-            if some.size:
-                before = j[some] - 1
-                rank[some, before], slot[some, before] = self._find(symbols[some, before], symbols[some, j[some]])
-        ends = np.array([len(marks[m]) if m else 0 for m in (0, 44, 46)])
-        extra = np.where(mark == 44, ends[1], np.where(mark == 46, ends[2], 0))
-        count = (ids < (1 << 20) - 1).sum(axis=1)
-        width = wide + int(ends.max())
-        whole = np.full((len(words), width), (1 << 20) - 1, dtype=np.int64)
-        whole[:, :wide] = ids
-        for code in (44, 46):
-            for k, x in enumerate(marks[code].tolist()):
-                own = np.flatnonzero(mark == code)
-                whole[own, count[own] + k] = x
-        count += extra
-        packed = whole[np.arange(width) < count[:, None]].astype("<u4").tobytes()
-        stop = np.cumsum(4 * count).tolist()
-        start = 0
-        for w, b in zip(words, stop, strict=True):
-            out[w] = packed[start:b]
-            start = b
+            go = np.flatnonzero(rank[np.arange(len(live)), j] < NONE)
+            if 4 * go.size < 3 * live.size or not go.size:
+                out[live] = symbols[:, :n]
+                live, symbols, rank, slot, after, before, j = (x[go] for x in (live, symbols, rank, slot, after, before, j))
+                go = np.arange(len(live))
+            base = go * wide
+            f = base + j[go]
+            s, r, o, a, b = (x.reshape(-1) for x in (symbols, rank, slot, after, before))
+            taken = base + a[f]
+            then = a[taken]
+            s[f] = self.new[o[f]]
+            s[taken], r[taken] = PAD, NONE
+            a[f], b[base + then] = then, j[go]
+            prior = b[f]
+            left = np.concatenate([f, base + prior])
+            r[left], o[left] = self._find(s[left], np.concatenate([s[base + then], s[f]]))
+        return out
