@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, extended, pieces, raw_text
+from .common import PRIVATE, batch_of, column, extended, pieces, raw_text, tidied
 
 WINDOW, BLOCK_WORDS = 13, 1_000_000
 COVER = 20
@@ -198,7 +198,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     for k, own in enumerate(blocks(benchmark, limit)):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(own, window))
         schema = extended(docs, [HITS])
-        out = out.withColumn(PRIVATE + "raw", F.col("text").cast("binary")).mapInArrow(_scan(shared, docs.columns, k > 0), schema)
+        out = out.withColumn(PRIVATE + "raw", F.col("text").cast("binary")).mapInArrow(tidied(_scan(shared, docs.columns, k > 0)), schema)
     return out
 
 
@@ -247,4 +247,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .line_dedup import with_length
 
     found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return with_length(found.mapInArrow(_cut(docs.columns, COVER), docs.schema)).select(*docs.columns)
+    return with_length(found.mapInArrow(tidied(_cut(docs.columns, COVER)), docs.schema)).select(*docs.columns)

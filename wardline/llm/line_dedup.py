@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, PRIVATE, batch_of, column, estimated_bytes, extended, pieces, raw_text, written
+from .common import BROADCAST_BYTES, PRIVATE, batch_of, column, estimated_bytes, extended, pieces, raw_text, tidied, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
@@ -112,7 +112,7 @@ def _filters(table: pa.Table) -> pa.Table:
 def repeat_filters(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
     """The twice-seen filters by segment, and the number of segments, which follows the input's size."""
     segments = max(8, min(1 << 20, -(-estimated_bytes(docs) // SEGMENT_BYTES)))
-    packed = raw_text(docs).mapInArrow(_marks(min_chars, segments), PACKED)
+    packed = raw_text(docs).mapInArrow(tidied(_marks(min_chars, segments)), PACKED)
     return packed.groupBy("segment").applyInArrow(_filters, FILTER), segments
 
 
@@ -158,7 +158,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
             bits += row.bits
         arrays = (start, size, np.frombuffer(bytes(bits), dtype=np.uint8))
     shared = spark.sparkContext.broadcast(arrays)
-    suspects = written(raw_text(docs).mapInArrow(lambda it: _suspects(min_chars, segments, shared.value)(it), SUSPECT), "line-suspects")
+    suspects = written(raw_text(docs).mapInArrow(tidied(lambda it: _suspects(min_chars, segments, shared.value)(it)), SUSPECT), "line-suspects")
     confirmed = suspects.groupBy("digest").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
     return suspects.join(confirmed, "digest").where("doc_id != stays").select("doc_id", "digest")
 
@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with the text that is left (a null text stays null) and one more column, ``__wl_out``, of n_lines and n_dropped."""
     drops = repeated_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias(PRIVATE + "drop")).withColumnRenamed("doc_id", PRIVATE + "id")
     joined = docs.join(drops, docs["doc_id"] == drops[PRIVATE + "id"], "left").drop(PRIVATE + "id")
-    return joined.mapInArrow(_kept(min_chars, docs.columns), extended(docs, [OUT]))
+    return joined.mapInArrow(tidied(_kept(min_chars, docs.columns)), extended(docs, [OUT]))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, pieces, raw_text, released, within, written
+from .common import PRIVATE, batch_of, column, pieces, raw_text, tidied, within, written
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -128,7 +128,6 @@ def _sketch(words: int):
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 own.append(registers(h).tobytes() if len(h) else None)
             yield batch_of(SKETCH, [batch.column(0), n, digest, own])
-        released()
 
     return run
 
@@ -234,9 +233,9 @@ class _Search:
         b = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent), PAIR), "likely")
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(within(raw_text(self.docs), ids).mapInArrow(_sets(self.words), SET), "sets")
+        sets = written(within(raw_text(self.docs), ids).mapInArrow(tidied(_sets(self.words)), SET), "sets")
         x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-        return written(likely.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(_links(self.percent), PAIR), "links")
+        return written(likely.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(tidied(_links(self.percent)), PAIR), "links")
 
 
     def rare_meetings(self, members: DataFrame) -> DataFrame:
@@ -244,7 +243,7 @@ class _Search:
         as a partner at the threshold can't all miss."""
         members = members.distinct()
         ids = members.select(F.col("rep").alias("doc_id")).distinct()
-        found = written(within(raw_text(self.docs), ids).mapInArrow(_exploded(self.words), SHINGLE).distinct(), "shingles")
+        found = written(within(raw_text(self.docs), ids).mapInArrow(tidied(_exploded(self.words)), SHINGLE).distinct(), "shingles")
         counts = found.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         common = found.join(counts, "shingle").join(members, "rep")
         by = Window.partitionBy("rep")
@@ -263,7 +262,7 @@ class _Search:
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     docs = docs.select("doc_id", "text")
-    sketches = written(raw_text(docs).mapInArrow(_sketch(words), SKETCH), "sketches")
+    sketches = written(raw_text(docs).mapInArrow(tidied(_sketch(words)), SKETCH), "sketches")
     sets = sketches.where("doc_id is not null and n > 0")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     reps = written(classes, "classes")

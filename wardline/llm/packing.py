@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, estimated_bytes, joined, released, small_batches, written
+from .common import batch_of, estimated_bytes, joined, small_batches, tidied, written
 from .word_bpe import WordBpe, spread
 
 TOKENS, END = 4096, 1
 #: Most distinct words whose ids a worker keeps from one part of its texts to the next.
 MEMORY = 400_000
 #: Bytes of text that are tokenized together.
-PART = 12 << 20
+PART = 8 << 20
 VOCABULARY = "word_bpe_49k.json"
 SPACE, NEWLINE = 32, 10
 
@@ -144,9 +144,6 @@ def _pieces(path: str, tokens: int, end: int):
         for batch in joined(batches, PART):
             docs, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             yield cut_up(words, docs, texts.fill_null(b""))
-        # A worker lives on after its task; what it has learnt here would take memory from other operators.
-        del words
-        released()
 
     return run
 
@@ -154,7 +151,7 @@ def _pieces(path: str, tokens: int, end: int):
 def cut(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, end: int = END) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(path or tokenizer_path(), tokens, end), PIECE)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidied(_pieces(path or tokenizer_path(), tokens, end)), PIECE)
 
 
 def patterns(counts: dict[int, int], tokens: int = TOKENS, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "dot") -> list[tuple[int, list[tuple[int, int]]]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, extended, pieces, written
+from .common import PRIVATE, batch_of, column, extended, pieces, tidied, written
 
 FIT_ROWS, SUPPORT, SHARE, LEAST, PATTERNS = 4000, 4, 0.01, 2.5, 5000
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not n:
         return Lexicon({}, exceptions, empty=True)
-    counts = texts.mapInArrow(_counted, COUNTED).groupBy("pattern").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = texts.mapInArrow(tidied(_counted), COUNTED).groupBy("pattern").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (p + 1.0)) - F.log((F.col("c") + 0.5) / (n + 1.0))
     found = counts.withColumn("w", weight).where((F.col("t") >= max(SUPPORT, SHARE * p)) & (F.col("w") >= LEAST)).orderBy(F.desc("t"), "pattern").limit(PATTERNS).collect()
     by = {r.pattern: r for r in found}
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
             weights[name] = float(r.w)
     lexicon = Lexicon(weights, exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    own = texts.select("text", "toxic").mapInArrow(lambda it: _featured(shared)(it), FEATURE).toArrow().to_pandas()
+    own = texts.select("text", "toxic").mapInArrow(tidied(lambda it: _featured(shared)(it)), FEATURE).toArrow().to_pandas()
     x = np.stack([np.ones(len(own)), np.log1p(own.a), own.b], axis=1)
     lexicon.fit = tuple(logistic(x, own.toxic.to_numpy(dtype=float)))
     return lexicon
@@ -226,7 +226,7 @@ def _scored(shared, names):
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` with ``__wl_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    return docs.mapInArrow(_scored(shared, docs.columns), extended(docs, [SCORE]))
+    return docs.mapInArrow(tidied(_scored(shared, docs.columns)), extended(docs, [SCORE]))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
