@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, pieces, raw_text, written
+from .common import batch_of, column, pieces, raw_text, tidied, written
 
 ORDER, NODES = 4, 2_000_000
 SYMBOLS, END = 257, 256
@@ -194,7 +194,7 @@ class Model:
 
 def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
     """The model of all texts of ``docs``."""
-    table = raw_text(docs).mapInArrow(_counted(order), COUNT)
+    table = raw_text(docs).mapInArrow(tidied(_counted(order)), COUNT)
     tables, least = [], 1
     for k in range(order, -1, -1):
         if k < order:
@@ -279,7 +279,7 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, hot: int = HO
     docs = docs.select("doc_id", "text")
     learnt = docs.where(~held_out())
     model = train(learnt, order, nodes)
-    vocabulary = written(raw_text(learnt).mapInArrow(_vocabulary, WORD).groupBy("word").agg(F.sum("count").alias("count")), "vocabulary")
+    vocabulary = written(raw_text(learnt).mapInArrow(tidied(_vocabulary), WORD).groupBy("word").agg(F.sum("count").alias("count")), "vocabulary")
     texts = learnt.count()
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     tokens, kinds = tokens + texts, kinds + bool(texts)
@@ -287,7 +287,7 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, hot: int = HO
     known = {w: float(np.log10(c + 0.5)) for w, c in zip(frequent.column("word").to_pylist(), frequent.column("count").to_pylist(), strict=True)}
     shared = spark.sparkContext.broadcast((model, known, float(np.log10(texts + 0.5)) if texts else None))
     own = raw_text(docs.withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id()), "held_out", "row")
-    scored = written(own.mapInArrow(_scored(shared), SCORED), "scored")
+    scored = written(own.mapInArrow(tidied(_scored(shared)), SCORED), "scored")
     cold = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
     met = cold.join(vocabulary, "word").groupBy("row").agg(F.sum("times").alias("n_cold"), F.sum(F.col("times") * F.log10(F.col("count") + 0.5)).alias("cold"))
     out = scored.drop("words", "counts").join(met, "row", "left").na.fill(0, ["n_cold"]).na.fill(0.0, ["cold"])
