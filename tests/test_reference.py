@@ -231,3 +231,12 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "j").write_text('{"__REALTIME_TIMESTAMP":"1704067200000000","PRIORITY":"3","SYSLOG_IDENTIFIER":"sshd","_PID":"123456","MESSAGE":"m"}\n')
     j = readers.journal(spark, str(tmp_path / "j")).first()
     assert (j.level, j.provider, j.event_id, j.time) == (2, "sshd", 23456, T0)
+
+
+def test_devices_expire_and_keep_when_their_mac_changed(spark):
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    rows = [(1, "a", "m1", at(0)), (2, "a", "m2", at(20)), (3, "a", "m2", at(50)), (4, "b", "m3", at(1)), (5, "c", None, at(40)), (6, "c", None, at(45))]
+    seen = spark.createDataFrame(rows, "id long, ip string, mac string, ts timestamp")
+    found = {r.ip: (r.mac, r.first_seen, r.last_seen, r.mac_since) for r in inventory.devices(seen, F.lit(at(55)), 1800).collect()}
+    assert found == {"a": ("m2", at(0), at(50), at(20)), "c": (None, at(40), at(45), at(40))}
+    assert inventory.devices(seen.limit(0), F.lit(at(55))).count() == 0

@@ -49,3 +49,11 @@ def upgrades(apps: DataFrame, available: DataFrame) -> DataFrame:
     fits = (F.col("_a") == F.col("_u")) | ((F.length("_u") >= 8) & F.col("_a").startswith(F.col("_u")))
     w = Window.partitionBy("upgrade_name").orderBy(F.desc(F.col("version") == F.col("current")), "app_id")
     return u.join(a, block & fits).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_a", "_u", "_r")
+
+
+def devices(seen: DataFrame, now: Column, ttl_seconds: int = 1800) -> DataFrame:
+    """Devices of observations (id, ip, mac, ts) that were seen within ``ttl_seconds``: the latest mac and since when the address has had it without a change."""
+    w = Window.partitionBy("ip").orderBy("ts", "id")
+    own = seen.withColumn("_c", F.when(~F.col("mac").eqNullSafe(F.lag("mac").over(w)), F.col("ts")))
+    out = own.groupBy("ip").agg(F.max_by("mac", F.struct("ts", "id")).alias("mac"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.coalesce(F.max("_c"), F.min("ts")).alias("mac_since"))
+    return out.where(F.col("last_seen") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))

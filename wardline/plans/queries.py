@@ -319,3 +319,10 @@ def brand_match(spark, sf_dir):
     names = F.array(*map(F.lit, ["Apple, Inc.", "Foo Technology Co.,Ltd.", "Microsoft XBOX Corp", "Intel Corporate"]))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", inventory.brand(F.element_at(names, (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("b"))
     return s.select("s_suppkey", "b.short", "b.class")
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN ts END AS changed FROM events)
+SELECT user_id AS ip, arg_max(event_type, ts) AS mac, min(ts) AS first_seen, max(ts) AS last_seen, max(changed) AS mac_since FROM c GROUP BY user_id HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""")
+def device_inventory(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("ip"), F.col("event_type").alias("mac"), "ts")
+    return inventory.devices(e, F.lit(e.agg(F.max("ts")).first()[0]), DAY // 2)
