@@ -230,6 +230,21 @@ def test_ppm_with_few_nodes_stays_a_distribution(spark, docs):
         assert (10 ** model.scores(code)).sum() == pytest.approx(1)
 
 
+def test_ppm_keeps_all_codes(spark):
+    """Over two million codes of order 4, most learnt once: each still meets its own count."""
+    rng = random.Random(7)
+    texts = [bytes(rng.choices(range(48, 112), k=550_000)) for _ in range(4)]
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5 != 1][:4]
+    code, starts = ppm.codes(texts)
+    own, at, n = np.unique(code, return_inverse=True, return_counts=True)
+    assert len(own) > 2_000_000
+    _, context, kinds = np.unique(own >> 9, return_inverse=True, return_counts=True)
+    total = np.bincount(context, weights=n)
+    want = np.add.reduceat((np.log10(n) - np.log10(total + kinds)[context])[at], starts)
+    got = rows_of(ppm.score(spark.createDataFrame(list(zip(ids, (t.decode() for t in texts), strict=True)), "doc_id long, text string")))
+    assert [got[d].score for d in ids] == pytest.approx(list(want), rel=1e-9)
+
+
 def test_ppm_without_training(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     model = ppm.train(df.where("false"))

@@ -6,9 +6,12 @@ shorter context, where the symbols of the longer one are excluded; below order 0
 counts of whole texts the symbols of a context are among those of its suffix, so what exclusion takes from a shorter context
 depends on the longer one alone and is stored there. That makes scoring a few table look-ups a byte, done for all bytes at once.
 
-Counts cover all training texts: each task sums its own, Spark sums the tasks'. What reaches the driver and is broadcast is
-at most NODES entries of each order: if more were counted, those below the least frequency that keeps to NODES are left out of
-the trie, and predicted by shorter contexts, whose counts still cover everything.
+The trie is never limited: it grows with the training texts and lies spread over the tasks. Texts are kept in parts of about PART
+bytes. Each part's distinct codes (a context and its symbol) are counted once; sums over the parts are the trie's highest order,
+and sums over longer contexts its lower ones. It is grouped by the two last bytes of the context: all that a code meets on its way
+down to order 2 ends in the same two bytes. Orders 0 and 1, at most 257 * 257 codes for any corpus, are given to each group.
+A group scores each of its codes once, learnt or not; each part then meets the scores of its own codes by a join and sums them along
+its texts. A task holds a group's codes, or a text part and its codes; the driver gets orders 0 and 1 alone.
 
 Beside it a unigram base model over words is computed. Its counts are never limited: the HOT most frequent words, which are
 a bounded number of bounded size, are broadcast; the others meet their counts by a join.
@@ -24,17 +27,31 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, pieces, raw_text, tidied, written
+from .common import batch_of, column, pieces, raw_text, released, tidied, written
 
-ORDER, NODES = 4, 2_000_000
+ORDER = 4
+#: About the bytes of a part's texts, and the codes of a group of the trie.
+PART, GROUP = 16 << 20, 200_000
 SYMBOLS, END = 257, 256
 HOT, HOT_BYTES = 200_000, 64
 FOLDS, HELD = 5, 1
-COUNT = T.StructType([T.StructField("code", T.LongType()), T.StructField("count", T.LongType())])
+PARTED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("text", T.BinaryType()),
+        T.StructField("part", T.LongType()),
+    ]
+)
+SEEN = T.StructType([T.StructField("part", T.LongType()), T.StructField("code", T.LongType()), T.StructField("count", T.LongType())])
+VALUED = T.StructType([T.StructField("code", T.LongType()), T.StructField("value", T.DoubleType())])
 
 
 def held_out() -> F.Column:
@@ -58,31 +75,104 @@ def codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return found[keep].view(np.int64), ends - sizes - order * np.arange(len(texts))
 
 
+def _parted(batches):
+    part, size = TaskContext.get().partitionId() << 32, 0
+    for batch in pieces(batches, 2 << 20):
+        if batch.num_rows:
+            own = batch.column(3).nbytes
+            if size and size + own > PART:
+                part, size = part + 1, 0
+            size += own
+            yield batch_of(PARTED, [*batch.columns, np.full(batch.num_rows, part)])
+
+
+def parted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, numbered, with the part each belongs to."""
+    own = raw_text(docs.withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id()), "held_out", "row")
+    return written(own.mapInArrow(tidied(_parted), PARTED), "parts")
+
+
+def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(code, return_inverse=True)
+    return own, np.bincount(at, weights=count, minlength=len(own)).astype(np.int64)
+
+
 def _counted(order: int):
-    def flush(parts):
-        code, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        keys, at = np.unique(code, return_inverse=True)
-        return keys, np.bincount(at, weights=count).astype(np.int64)
+    """Each part's distinct codes and how often they are learnt there, which may be never. A part may come in several pieces."""
 
     def run(batches):
-        parts, size = [], 0
+        now, parts, size = None, [], 0
+
+        def flush():
+            code, count = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            parts[:] = [(code, count)]
+            return len(code)
+
+        def out():
+            flush()
+            return batch_of(SEEN, [np.full(len(parts[0][0]), now), *parts[0]])
+
         for batch in pieces(batches, 2 << 20):
+            part, held = batch.column(4).to_numpy(), np.array(column(batch, "held_out"), dtype=bool)
             texts = [x or b"" for x in column(batch, "text")]
-            if texts:
-                parts.append(np.unique(codes(texts, order)[0], return_counts=True))
-                size += len(parts[-1][0])
+            for own in np.unique(part):
+                if parts and (own != now or size > 1_500_000):
+                    yield out()
+                    parts, size = [], 0
+                now = own
+                for learnt in (True, False):
+                    mine = [texts[j] for j in np.flatnonzero((part == own) & (held != learnt))]
+                    if mine:
+                        code, count = np.unique(codes(mine, order)[0], return_counts=True)
+                        parts.append((code, count * learnt))
+                        size += len(code)
                 if size > 3_000_000:
-                    parts = [flush(parts)]
-                    size = len(parts[0][0])
-                    if size > 1_500_000:
-                        yield batch_of(COUNT, list(parts[0]))
-                        parts, size = [], 0
+                    size = flush()
         if parts:
-            yield batch_of(COUNT, list(flush(parts)))
+            yield out()
 
     return run
 
 
+class Lookup:
+    """Values of distinct codes by a hash table: where each slot's codes begin."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        slot = self._slot(codes)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.value = codes[order], values[order]
+        self.begin = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max()) if len(self.keys) else 0
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def found(self, code: np.ndarray) -> np.ndarray:
+        """Each code's value, NaN for one that isn't known."""
+        out = np.full(len(code), np.nan)
+        if len(self.keys):
+            at = self.begin[slot := self._slot(code)]
+            end = self.begin[1:][slot]
+            here = np.minimum(at, len(self.keys) - 1)
+            ok = (at < end) & (self.keys[here] == code)
+            out[ok] = self.value[here[ok]]
+            open_ = np.flatnonzero(~ok & (end - at > 1))
+            for j in range(1, self.most):
+                rows = open_[at[open_] + j < end[open_]]
+                ok = self.keys[at[rows] + j] == code[rows]
+                out[rows[ok]] = self.value[at[rows[ok]] + j]
+                open_ = rows
+        return out
+
+
+def _along(texts: list[bytes], order: int, scores) -> np.ndarray:
+    """The sum of ``scores`` of its codes for each text."""
+    code, starts = codes(texts, order)
+    each = np.concatenate([scores(code[a : a + (1 << 18)]) for a in range(0, len(code), 1 << 18)])
+    return np.add.reduceat(each, starts)
+
+
 class Model:
     """The trie as arrays: for each order the sorted codes with their counts, and what its contexts add up to."""
 
@@ -121,34 +211,12 @@ class Model:
                 step = np.where(fresh > 0, np.log10(np.maximum(fresh, 1)) - self.under[-1], 0.0)
                 self.sum.append(step + self.sum[k - 1][shorter])
                 self.suffix.append(shorter)
-        # Codes of the highest order by a hash table: where each slot's codes begin.
-        self.bits = max(4, int(2 * len(self.codes[-1])).bit_length())
-        slot = self._slot(self.codes[-1])
-        order = np.argsort(slot, kind="stable")
-        self.keys = self.codes[-1][order]
-        where = np.searchsorted(self.contexts[-1], self.keys >> 9)
-        self.value = self.log[-1][order] - self.whole[-1][where]
-        self.begin = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.most = int(np.diff(self.begin).max()) if len(self.keys) else 0
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        where = np.searchsorted(self.contexts[-1], self.codes[-1] >> 9)
+        self.highest = Lookup(self.codes[-1], self.log[-1] - self.whole[-1][where])
 
     def scores(self, code: np.ndarray) -> np.ndarray:
         """log10 of each symbol's probability."""
-        out = np.full(len(code), np.nan)
-        if len(self.keys):
-            at = self.begin[slot := self._slot(code)]
-            end = self.begin[1:][slot]
-            here = np.minimum(at, len(self.keys) - 1)
-            ok = (at < end) & (self.keys[here] == code)
-            out[ok] = self.value[here[ok]]
-            open_ = np.flatnonzero(~ok & (end - at > 1))
-            for j in range(1, self.most):
-                rows = open_[at[open_] + j < end[open_]]
-                ok = self.keys[at[rows] + j] == code[rows]
-                out[rows[ok]] = self.value[at[rows[ok]] + j]
-                open_ = rows
+        out = self.highest.found(code)
         rest = np.flatnonzero(np.isnan(out))
         if len(rest):
             own, at = np.unique(code[rest], return_inverse=True)
@@ -187,33 +255,53 @@ class Model:
         return out
 
     def text_scores(self, texts: list[bytes]) -> np.ndarray:
-        code, starts = codes(texts, self.order)
-        each = np.concatenate([self.scores(code[a : a + (1 << 18)]) for a in range(0, len(code), 1 << 18)])
-        return np.add.reduceat(each, starts)
-
-
-def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The model of all texts of ``docs``."""
-    table = raw_text(docs).mapInArrow(tidied(_counted(order)), COUNT)
-    tables, least = [], 1
-    for k in range(order, -1, -1):
-        if k < order:
-            table = table.select((F.shiftright(F.col("code"), 9).bitwiseAND((1 << 8 * k) - 1) * 512 + F.col("code").bitwiseAND(511)).alias("code"), "count")
-        table = written(table.groupBy("code").agg(F.sum("count").alias("count")), "counts")
-        tables.append(table)
-        total = 0
-        for row in table.groupBy(F.least("count", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect():
-            total += row["count"]
-            if total > nodes:
-                least = max(least, row.c + 1)
-                break
-    levels = []
-    for table in tables:
-        own = table.where(F.col("count") >= least).toArrow()
-        code, count = own.column("code").to_numpy(), own.column("count").to_numpy()
-        at = np.argsort(code)
-        levels.append((code[at], count[at]))
-    return Model(levels[::-1])
+        return _along(texts, self.order, self.scores)
+
+
+def _levels(code: np.ndarray, count: np.ndarray, order: int, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts of orders ``least`` to ``order``, sorted by code, from those of ``order``."""
+    out = [_summed(code, count)] if order >= least else []
+    for k in range(order - 1, least - 1, -1):
+        code, count = out[-1]
+        out.append(_summed((code >> 9 & (1 << 8 * k) - 1) << 9 | code & 511, count))
+    return out[::-1]
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("code").to_numpy(), table.column("count").to_numpy()
+
+
+def train(docs: DataFrame, order: int = ORDER, nodes: int | None = None) -> Model:
+    """The model of all texts of ``docs`` in one piece, for corpora whose trie fits the driver; ``score`` doesn't use it. With ``nodes``,
+    codes below the least frequency that leaves at most so many in each order are left out."""
+    learnt = parted(docs).withColumn("held_out", F.lit(False))
+    seen = learnt.mapInArrow(tidied(_counted(order)), SEEN).groupBy("code").agg(F.sum("count").alias("count"))
+    levels = _levels(*_arrays(seen.toArrow()), order)
+    if nodes is not None:
+        least = max([1, *(int(np.sort(n)[-1 - nodes]) + 1 for _, n in levels if len(n) > nodes)])
+        levels = [(code[n >= least], n[n >= least]) for code, n in levels]
+    return Model(levels)
+
+
+def _valued(base: list[tuple[np.ndarray, np.ndarray]], order: int):
+    def run(group: pa.Table) -> pa.Table:
+        code, count = _arrays(group)
+        learnt = count > 0
+        model = Model([*base, *_levels(code[learnt], count[learnt], order, len(base))])
+        return pa.Table.from_batches([batch_of(VALUED, [code, model.scores(code)])])
+
+    return run
+
+
+def valued(seen: DataFrame, order: int = ORDER) -> DataFrame:
+    """log10 of the probability of each code in ``seen``, in the model of all that was learnt there."""
+    counts = written(seen.groupBy("code").agg(F.sum("count").alias("count")), "counts")
+    low = min(order, 1)
+    shorter = F.shiftright("code", 9).bitwiseAND((1 << 8 * low) - 1) * 512 + F.col("code").bitwiseAND(511)
+    base = _levels(*_arrays(counts.where("count > 0").groupBy(shorter.alias("code")).agg(F.sum("count").alias("count")).toArrow()), low)
+    groups = 1 + counts.count() // GROUP
+    last = F.shiftright("code", 9).bitwiseAND(0xFFFF)
+    return counts.groupBy(F.pmod(F.hash(last), F.lit(groups)).alias("group")).applyInArrow(_valued(base, order), VALUED)
 
 
 WORD = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("count", T.LongType())])
@@ -245,16 +333,19 @@ SCORED = T.StructType(
 )
 
 
-def _scored(shared):
-    def run(batches):
-        model, hot, end = shared.value
+def _scored(shared, order: int):
+    def run(part: pa.Table, values: pa.Table) -> pa.Table:
+        hot, end = shared.value
         get = hot.get
-        for batch in pieces(batches, 2 << 20):
+        code, at = np.unique(values.column("code").to_numpy(), return_index=True)
+        found = Lookup(code, values.column("value").to_numpy()[at]).found
+        out = []
+        for batch in pieces(part.to_batches(), 2 << 20):
             texts = [x or b"" for x in column(batch, "text")]
             n, known, total, words, counts = [], [], [], [], []
             for text in texts:
-                found = text.lower().split()
-                own, w, c, k, s = Counter(found), [], [], int(end is not None), end or 0.0
+                split = text.lower().split()
+                own, w, c, k, s = Counter(split), [], [], int(end is not None), end or 0.0
                 for word, times in own.items():
                     if (v := get(word)) is None:
                         w.append(word)
@@ -262,32 +353,36 @@ def _scored(shared):
                     else:
                         k += times
                         s += times * v
-                n.append(len(found) + 1)
+                n.append(len(split) + 1)
                 known.append(k)
                 total.append(s)
                 words.append(w)
                 counts.append(c)
             if texts:
-                yield batch_of(SCORED, [batch.column(0), batch.column(1), batch.column(2), n, known, total, model.text_scores(texts), words, counts])
+                out.append(batch_of(SCORED, [batch.column(0), batch.column(1), batch.column(2), n, known, total, _along(texts, order, found), words, counts]))
+        whole = pa.Table.from_batches(out)
+        released()
+        return whole
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; learnt from rows that aren't held out."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    learnt = docs.where(~held_out())
-    model = train(learnt, order, nodes)
+    parts = parted(docs.select("doc_id", "text"))
+    learnt = parts.where(~F.col("held_out"))
+    seen = written(parts.mapInArrow(tidied(_counted(order)), SEEN), "seen")
     vocabulary = written(raw_text(learnt).mapInArrow(tidied(_vocabulary), WORD).groupBy("word").agg(F.sum("count").alias("count")), "vocabulary")
     texts = learnt.count()
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     tokens, kinds = tokens + texts, kinds + bool(texts)
     frequent = vocabulary.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("count"), "word").limit(hot).toArrow()
     known = {w: float(np.log10(c + 0.5)) for w, c in zip(frequent.column("word").to_pylist(), frequent.column("count").to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((model, known, float(np.log10(texts + 0.5)) if texts else None))
-    own = raw_text(docs.withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id()), "held_out", "row")
-    scored = written(own.mapInArrow(tidied(_scored(shared)), SCORED), "scored")
+    shared = spark.sparkContext.broadcast((known, float(np.log10(texts + 0.5)) if texts else None))
+    n = max(1, parts.select("part").distinct().count())
+    values = seen.select("part", "code").join(valued(seen, order), "code").repartition(n, "part").groupBy("part")
+    scored = written(parts.repartition(n, "part").groupBy("part").cogroup(values).applyInArrow(_scored(shared, order), SCORED), "scored")
     cold = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
     met = cold.join(vocabulary, "word").groupBy("row").agg(F.sum("times").alias("n_cold"), F.sum(F.col("times") * F.log10(F.col("count") + 0.5)).alias("cold"))
     out = scored.drop("words", "counts").join(met, "row", "left").na.fill(0, ["n_cold"]).na.fill(0.0, ["cold"])
