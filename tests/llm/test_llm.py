@@ -230,6 +230,19 @@ def test_ppm_with_few_nodes_stays_a_distribution(spark, docs):
         assert (10 ** model.scores(code)).sum() == pytest.approx(1)
 
 
+def test_ppm_scores_of_the_query(spark, docs, edge, small, monkeypatch):
+    """Whole texts through the query, the trie in one group and in many."""
+    for folder, own in both(spark, docs, edge, small):
+        learnt = [t for d, t in own if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+        plain = brute.Ppm([(t or "").encode() for t in learnt], ppm.ORDER)
+        want = sorted((d, round(plain.score((t or "").encode()), 6)) for d, t in own)
+        for group in (ppm.GROUP, 1000):
+            monkeypatch.setattr(ppm, "GROUP", group)
+            got = sorted((r.doc_id, r.score) for r in queries.op5_ppm(spark, folder).collect())
+            assert [d for d, _ in got] == [d for d, _ in want]
+            assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9, abs=1e-6)
+
+
 def test_ppm_keeps_all_codes(spark):
     """Over two million codes of order 4, most learnt once: each still meets its own count."""
     rng = random.Random(7)
