@@ -181,6 +181,27 @@ def test_ogg_pages():
         ogg.demultiplex(b"".join(pages[:2] + pages[3:]))
 
 
+def test_ogg_times_from_granules():
+    sizes = (8000, 70_000, 4000, 70_000, 4000)
+    ends = [sum(sizes[: k + 1]) for k in range(5)]
+
+    def media(own, used=sizes):
+        notes = [(ogg.NOTE_MAGIC, 0), *((n.to_bytes(4, "little"), 0) for n in used)]
+        audio = [(ogg.MAGIC + (8000).to_bytes(4, "little") + b"\1\10", 0), *((bytes([k]) * n, g) for k, (n, g) in enumerate(zip(used, own, strict=True)))]
+        return b"".join(ogg.stream_pages(ogg.AUDIO, audio) + ogg.stream_pages(ogg.NOTES, notes))
+
+    whole, times = ogg.decode(media(ends))
+    assert (len(whole), times) == (156_000, [e / 8000 for e in ends])
+    late = [e + 16_000 for e in ends]
+    assert ogg.decode(media(late)) == (whole, [e / 8000 for e in late])
+    assert ogg.decode(media([*ends[:4], ends[4] - 1000])) == (whole[:-1000], [*times[:4], (ends[4] - 1000) / 8000])
+    assert ogg.decode(media([*late[:4], late[4] - 1000])) == (whole[:-1000], [*(e / 8000 for e in late[:4]), (late[4] - 1000) / 8000])
+    assert ogg.decode(media([900], [1000]))[1] == [900 / 8000] and ogg.decode(media([1100], [1000]))[1] == [1100 / 8000]
+    for wrong in ([*ends[:4], ends[4] + 1], [*ends[:4], ends[0]], [ends[0], ends[1] - 1, ends[2] - 1, *ends[3:]], [-1] * 5):
+        with pytest.raises(ogg.Corrupt):
+            ogg.decode(media(wrong))
+
+
 def test_ogg_query(spark, docs, edge, small):
     for folder, own in both(spark, docs, edge, small):
         got, texts = queries.op4_ogg(spark, folder).collect(), dict(own)

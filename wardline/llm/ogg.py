@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -126,21 +127,33 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
 
 
 def decode(data: bytes) -> tuple[bytes, list[float]]:
-    """The samples, and the end of each audio packet in seconds, from granule positions where a page has one."""
+    """The samples, and the end of each audio packet in seconds: a page's granule position is where the last packet that ends on it
+    ends, the packets before it are placed by their lengths. The first position may lie above 0, the last may trim the end."""
     streams = demultiplex(data)
     if AUDIO not in streams or NOTES not in streams or not streams[AUDIO][0][0].startswith(MAGIC) or streams[NOTES][0][0] != NOTE_MAGIC:
         raise Corrupt("a stream is missing")
     (head, _), *audio = streams[AUDIO]
-    rate, done, times = struct.unpack_from("<I", head, 8)[0], 0, []
+    rate = struct.unpack_from("<I", head, 8)[0]
     sizes = [struct.unpack("<I", x)[0] for x, _ in streams[NOTES][1:]]
     if sizes != [len(x) for x, _ in audio]:
         raise Corrupt("the notes don't fit the samples")
-    for x, granule in audio:
-        done += len(x)
-        if granule is not None and granule != done:
+    ends, waiting, before, over = [], [], None, 0
+    for k, (x, granule) in enumerate(audio):
+        waiting.append(len(x))
+        if granule is None:
+            continue
+        last = k == len(audio) - 1
+        if before is None:
+            before = granule - sum(waiting)
+            if last:
+                before = max(before, 0)
+        over = before + sum(waiting) - granule
+        if before < 0 or granule < before or over < 0 or (over and not last):
             raise Corrupt("a granule position doesn't fit the samples")
-        times.append(done / rate)
-    return b"".join(x for x, _ in audio), times
+        ends += [min(before + n, granule) for n in accumulate(waiting)]
+        before, waiting = granule, []
+    samples = b"".join(x for x, _ in audio)
+    return samples[: len(samples) - over], [e / rate for e in ends]
 
 
 def padded(text: bytes) -> bytes:
