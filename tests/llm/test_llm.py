@@ -155,6 +155,21 @@ def test_vector_capacities(counts, documents, rule):
     assert used == Counter(counts)
 
 
+def test_packing_with_binding_capacities(spark):
+    """The document and attention capacities through pack(), where each of them, and not the tokens alone, closes sequences."""
+    df = spark.createDataFrame([(k, "word " * (1 + k % 150)) for k in range(600)], "doc_id long, text string")
+    counts = {}
+    for documents, attention in ((None, None), (4, None), (None, 40_000), (4, 40_000)):
+        found = defaultdict(list)
+        for r in packing.pack(df, tokens=512, documents=documents, attention=attention).collect():
+            found[r.sequence_id].append(r.length)
+        assert sum(map(len, found.values())) == 600
+        for own in found.values():
+            assert sum(own) <= 512 and len(own) <= (documents or 512) and sum(x * x for x in own) <= (attention or 512 * 512)
+        counts[documents, attention] = len(found)
+    assert counts[None, None] < min(counts[4, None], counts[None, 40_000]) and counts[4, 40_000] >= max(counts[4, None], counts[None, 40_000])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 700))
 def test_ogg_round_trip(data, packet):
