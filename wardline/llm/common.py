@@ -23,6 +23,8 @@ BROADCAST_BYTES = 32 << 20
 BATCH_ROWS = 2000
 #: Most ids that are broadcast to pick rows by.
 BROADCAST_IDS = 1 << 20
+#: Rows of a key from which on it may fill a task, and the most keys that are broadcast for that.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 
 def released() -> None:
@@ -57,19 +59,62 @@ def within(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose driver is the executor, may
+    leave it unset and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wardline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lost executors cost no recomputation, lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._wardline_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, when nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._wardline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``size`` how many of the ``total`` rows carry the key. Keys with so
+    many rows that they would fill a task are broadcast, at most HOT_KEYS of them by their count; the other keys are shuffled."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    table = table.withColumnRenamed(key, PRIVATE + "key")
+    hot, cold = table.where(F.col(size) > limit), table.where(F.col(size) <= limit)
+    meets = F.col(key) == F.col(PRIVATE + "key")
+    rest = rows.join(F.broadcast(hot.select(PRIVATE + "key")), meets, "left_anti").join(cold, meets)
+    return rows.join(F.broadcast(hot), meets).union(rest).drop(PRIVATE + "key")
+
+
+def attached(docs: DataFrame, extra: DataFrame, key: str, size: int, by: str = "doc_id") -> DataFrame:
+    """``docs`` left-joined with ``extra``, a written table with one row for some values of ``by`` (in ``key``, which is dropped) and about ``size``
+    bytes. Within BROADCAST_BYTES it is broadcast. Beyond, only the documents that have such a row are shuffled, as long as their
+    ids can be broadcast (BROADCAST_IDS); else all are."""
+    meets = docs[by] == extra[key]
+    if size <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(extra), meets, "left").drop(key)
+    if extra.count() > BROADCAST_IDS:
+        return docs.join(extra, meets, "left").drop(key)
+    name = free_name(docs, "own")
+    ids = F.broadcast(extra.select(F.col(key).alias(name)))
+    own = docs[by] == F.col(name)
+    whole = docs.join(ids, own, "left_anti")
+    for field in extra.schema:
+        if field.name != key:
+            whole = whole.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return docs.join(ids, own, "left_semi").join(extra, meets).drop(key).unionByName(whole)
 
 
 def estimated_bytes(df: DataFrame, unknown: int = 1 << 30) -> int:
@@ -132,5 +177,13 @@ def joined(batches, limit: int, column: str = "text"):
         yield whole()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, ``__wl_name`` if it is free."""
+    found = PRIVATE + name
+    while found.lower() in {c.lower() for c in df.columns}:
+        found += "_"
+    return found
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

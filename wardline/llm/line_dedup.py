@@ -3,9 +3,12 @@ are shuffled, as 128-bit digests, to be counted exactly and to choose the occurr
 
 Pass 1 sends 32-bit fingerprints, packed by segment of the hash space and unique in each task. Each segment builds its
 once-seen filter, and from the fingerprints that hit it the twice-seen filter. The twice-seen filters of all segments are
-broadcast when they take no more than BROADCAST_BYTES; beyond that every line counts as suspected, which is exact too and
-costs a shuffle of (digest, doc_id). Pass 2 sends the suspected lines' digests; counting is pre-aggregated and in two
-steps, first by (digest, doc_id), so that a line held by a third of all documents meets no single task.
+broadcast when they take no more than BROADCAST_BYTES. Beyond that the lines' digests are written once, apart for each slice of
+segments whose filters take that much, and slice after slice is tested; so at any size suspected lines alone are shuffled, and
+what is broadcast at once is bounded. (The table of digests has a file for each task and slice.) Pass 2 sends the suspected lines'
+digests; counting is pre-aggregated and in two steps, first by (digest, doc_id). A line held by very many documents finds its count
+by a broadcast of such lines, which are few, so it meets no single task. Texts travel only if they lose lines and these can't be
+broadcast.
 
 Digests are 128-bit XXH3; unequal keys would share one with a chance of n*n/2**129.
 
@@ -16,6 +19,8 @@ table. Other columns stay untouched, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, PRIVATE, batch_of, column, estimated_bytes, extended, pieces, raw_text, tidied, written
+from .common import BROADCAST_BYTES, attached, batch_of, column, discarded, estimated_bytes, extended, free_name, matched, pieces, raw_text, tidied, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
@@ -119,7 +124,12 @@ def repeat_filters(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
 SUSPECT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc_id", T.LongType())])
 
 
-def _suspects(least: int, segments: int, filters: tuple | None):
+HASHED = T.StructType([T.StructField("slice", T.IntegerType()), *SUSPECT.fields])
+
+
+def _hashed(least: int):
+    """The distinct digests of each batch's documents, with their doc_ids, as arrays."""
+
     def run(batches):
         for batch in pieces(batches):
             own, found = [], []
@@ -128,50 +138,100 @@ def _suspects(least: int, segments: int, filters: tuple | None):
                     new = [d for d in {*digests(text, least)} if d]
                     found += new
                     own += [doc] * len(new)
-            if not found:
-                continue
-            keep = np.ones(len(found), dtype=bool)
-            if filters is not None:
-                start, size, bits = filters
-                segment, mark = _split(np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2), segments)
-                known = size[segment] > 0
-                keep = known.copy()
-                at = positions(mark[known], size[segment[known]]) + start[segment[known]].astype(np.uint64)[:, None]
-                keep[known] = hit(bits, at)
-            rows = np.flatnonzero(keep)
-            yield batch_of(SUSPECT, [[found[i] for i in rows], [own[i] for i in rows]])
+            if found:
+                yield np.array(own, dtype=np.int64), found
 
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, digest) of the lines to drop: keys found in ``min_docs`` documents, outside the largest doc_id with the key."""
+def _sliced(least: int, segments: int, bounds: np.ndarray):
+    """All digests with the slice of segments that each belongs to."""
+
+    def run(batches):
+        for own, found in _hashed(least)(batches):
+            segment, _ = _split(np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2), segments)
+            yield batch_of(HASHED, [np.searchsorted(bounds, segment, side="right").astype(np.int32), found, own])
+
+    return run
+
+
+def _suspected(found: list[bytes], segments: int, filters: tuple) -> np.ndarray:
+    """The rows of ``found`` that the twice-seen filters of these segments let through."""
+    start, size, bits = filters
+    segment, mark = _split(np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2), segments)
+    rows = np.flatnonzero(size[segment] > 0)
+    own = segment[rows]
+    at = positions(mark[rows], size[own]) + start[own].astype(np.uint64)[:, None]
+    return rows[hit(bits, at)]
+
+
+def _tested(read, segments: int, shared):
+    def run(batches):
+        for own, found in read(batches):
+            rows = _suspected(found, segments, shared.value)
+            yield batch_of(SUSPECT, [[found[i] for i in rows], own[rows]])
+
+    return run
+
+
+def _read_digests(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column(1).to_numpy(), column(batch, "digest")
+
+
+def _held(spark, filters: DataFrame, segments: int):
+    """The filters as a broadcast: where each segment's bits begin, their number's logarithm, and the bits."""
+    start, size, bits = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64), bytearray()
+    for row in filters.toLocalIterator():
+        start[row.segment], size[row.segment] = 8 * len(bits), row.log_bits
+        bits += row.bits
+    return spark.sparkContext.broadcast((start, size, np.frombuffer(bytes(bits), dtype=np.uint8)))
+
+
+def suspects(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(digest, doc_id) of the lines that the twice-seen filters let through, once for each document. A written table."""
     spark = docs.sparkSession
     filters, segments = repeat_filters(docs, min_chars)
     filters = written(filters, "line-filters")
-    held = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    arrays = None
-    if held <= BROADCAST_BYTES:
-        start, size, bits = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64), bytearray()
-        for row in filters.collect():
-            start[row.segment], size[row.segment] = 8 * len(bits), row.log_bits
-            bits += row.bits
-        arrays = (start, size, np.frombuffer(bytes(bits), dtype=np.uint8))
-    shared = spark.sparkContext.broadcast(arrays)
-    suspects = written(raw_text(docs).mapInArrow(tidied(lambda it: _suspects(min_chars, segments, shared.value)(it)), SUSPECT), "line-suspects")
-    confirmed = suspects.groupBy("digest").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
-    return suspects.join(confirmed, "digest").where("doc_id != stays").select("doc_id", "digest")
+    # Slices of consecutive segments whose filters take BROADCAST_BYTES at most, by their average.
+    held = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.max(F.length("bits")), F.lit(0))).first()
+    slices = max(1, min(segments, -(-held[0] // max(1, BROADCAST_BYTES - held[1]))))
+    if slices == 1:
+        shared = _held(spark, filters, segments)
+        out = written(raw_text(docs).mapInArrow(tidied(_tested(_hashed(min_chars), segments, shared)), SUSPECT), "line-suspects")
+        discarded(filters)
+        return out
+    bounds = np.array([segments * k // slices for k in range(1, slices)])
+    table = written(raw_text(docs).mapInArrow(tidied(_sliced(min_chars, segments, bounds)), HASHED), "line-digests", by="slice")
+    found = []
+    for k, (a, b) in enumerate(zip([0, *bounds.tolist()], [*bounds.tolist(), segments], strict=True)):
+        shared = _held(spark, filters.where(f"segment >= {a} and segment < {b}"), segments)
+        found.append(written(table.where(f"slice = {k}").select("digest", "doc_id").mapInArrow(tidied(_tested(_read_digests, segments, shared)), SUSPECT), "line-suspects"))
+        shared.unpersist()
+    out = written(reduce(DataFrame.union, found), "line-suspects")
+    discarded(table, filters, *found)
+    return out
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, digest) of the lines to drop: keys found in ``min_docs`` documents, outside the largest doc_id with the key."""
+    lines = suspects(docs, min_chars)
+    confirmed = lines.groupBy("digest", "doc_id").agg(F.count("*").alias("k")).groupBy("digest").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.max("doc_id").alias("stays"))
+    confirmed = written(confirmed.where(F.col("n") >= min_docs), "line-counts")
+    total = confirmed.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    return matched(lines, confirmed, "digest", "k", total).where("doc_id != stays").select("doc_id", "digest")
 
 
-OUT = T.StructField(PRIVATE + "out", T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+OUT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
 
-def _kept(least: int, names: list[str]):
+def _kept(least: int, names: list[str], extra: str, out_name: str):
     def run(batches):
         for batch in pieces(batches, 8 << 20):
             raw = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             totals, dropped = [], []
-            for k, drop in enumerate(column(batch, PRIVATE + "drop")):
+            for k, drop in enumerate(column(batch, extra)):
                 lines = (raw[k] or b"").split(b"\n")
                 kept = lines
                 if drop:
@@ -182,16 +242,20 @@ def _kept(least: int, names: list[str]):
                 dropped.append(len(lines) - len(kept))
             out = pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=["n_lines", "n_dropped"])
             text = pa.array(raw, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(text if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names), out], names=[*names, PRIVATE + "out"])
+            yield pa.RecordBatch.from_arrays([*(text if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names), out], names=[*names, out_name])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the text that is left (a null text stays null) and one more column, ``__wl_out``, of n_lines and n_dropped."""
-    drops = repeated_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias(PRIVATE + "drop")).withColumnRenamed("doc_id", PRIVATE + "id")
-    joined = docs.join(drops, docs["doc_id"] == drops[PRIVATE + "id"], "left").drop(PRIVATE + "id")
-    return joined.mapInArrow(tidied(_kept(min_chars, docs.columns)), extended(docs, [OUT]))
+    """``docs`` with the text that is left (a null text stays null) and one more last column, a struct of n_lines and n_dropped; its name
+    is ``__wl_out``, with underscores behind if ``docs`` has that."""
+    key, extra, out = free_name(docs, "id"), free_name(docs, "drop"), free_name(docs, "out")
+    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias(extra)).withColumnRenamed("doc_id", key)
+    drops = written(drops, "line-drops")
+    rows, lines = drops.agg(F.count("*"), F.coalesce(F.sum(F.size(extra)), F.lit(0))).first()
+    joined = attached(docs, drops, key, 64 * rows + 32 * lines)
+    return joined.mapInArrow(tidied(_kept(min_chars, docs.columns, extra, out)), extended(docs, [T.StructField(out, OUT)]))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
