@@ -2,9 +2,10 @@
 
 Texts are folded first: compatibility forms, letters that look like Latin ones, digits and signs that stand for letters,
 invisible characters and case. Patterns are whole words and beginnings of words. Their weights are log odds, learnt from a bounded
-sample of labelled rows (FIT_ROWS of each label, smallest hashes first); a pattern must be in SUPPORT toxic texts and
-have weight LEAST. A match inside an exception phrase doesn't count. The features of a text are the sum of its matches'
-weights and that sum by the logarithm of its length in words; a logistic function fitted to the sample turns them into a score.
+sample of labelled rows (FIT_ROWS of each label, smallest hashes first); a pattern must be in SUPPORT toxic texts, and in the share
+SHARE of them, and have weight LEAST. All such patterns are taken; that are at most 1 / SHARE times as many as a toxic text has on
+average. A match inside an exception phrase doesn't count. The features of a text are the sum of its matches' weights and that sum
+by the logarithm of its length in words; a logistic function fitted to the sample turns them into a score.
 
 Cases: a null or empty text has no matches and gets the score of a text without any. Without labels of both kinds the
 lexicon is empty and all scores are 0. Rows of labels that repeat a doc_id count once, as toxic if any says so; null
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import PRIVATE, batch_of, column, extended, pieces, tidied, written
 
-FIT_ROWS, SUPPORT, SHARE, LEAST, PATTERNS = 4000, 4, 0.01, 2.5, 5000
+FIT_ROWS, SUPPORT, SHARE, LEAST = 4000, 4, 0.01, 2.5
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 #: Lengths of the beginnings of words that may become patterns.
 BEGINNINGS = (4, 5, 6, 7)
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
         return Lexicon({}, exceptions, empty=True)
     counts = texts.mapInArrow(tidied(_counted), COUNTED).groupBy("pattern").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (p + 1.0)) - F.log((F.col("c") + 0.5) / (n + 1.0))
-    found = counts.withColumn("w", weight).where((F.col("t") >= max(SUPPORT, SHARE * p)) & (F.col("w") >= LEAST)).orderBy(F.desc("t"), "pattern").limit(PATTERNS).collect()
+    found = counts.withColumn("w", weight).where((F.col("t") >= max(SUPPORT, SHARE * p)) & (F.col("w") >= LEAST)).collect()
     by = {r.pattern: r for r in found}
     weights = {}
     for name, r in by.items():
