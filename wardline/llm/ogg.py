@@ -9,7 +9,9 @@ The checksum of Ogg is CRC-32 with polynomial 0x04c11db7, most significant bit f
 CRC-32, which has the same polynomial and goes the other way, on bytes with their bits reversed.
 
 Cases: a null or empty text gives 64 zero samples. Equal texts give equal files. Texts of any length are read and written
-whole. Rows are independent: repeated rows, null doc_ids and empty tables need no care; other columns are left behind.
+whole. A stored value that is null or no whole Ogg file is described by its size and digest, nulls, and what is wrong in the column
+error, which is null otherwise. Rows are independent: repeated rows, null doc_ids and empty tables need no care; other columns are
+left behind.
 """
 
 from __future__ import annotations
@@ -130,12 +132,12 @@ def decode(data: bytes) -> tuple[bytes, list[float]]:
     """The samples, and the end of each audio packet in seconds: a page's granule position is where the last packet that ends on it
     ends, the packets before it are placed by their lengths. The first position may lie above 0, the last may trim the end."""
     streams = demultiplex(data)
-    if AUDIO not in streams or NOTES not in streams or not streams[AUDIO][0][0].startswith(MAGIC) or streams[NOTES][0][0] != NOTE_MAGIC:
+    if not streams.get(AUDIO) or not streams.get(NOTES) or not streams[AUDIO][0][0].startswith(MAGIC) or streams[NOTES][0][0] != NOTE_MAGIC:
         raise Corrupt("a stream is missing")
     (head, _), *audio = streams[AUDIO]
-    rate = struct.unpack_from("<I", head, 8)[0]
-    sizes = [struct.unpack("<I", x)[0] for x, _ in streams[NOTES][1:]]
-    if sizes != [len(x) for x, _ in audio]:
+    if len(head) < len(MAGIC) + 6 or not (rate := struct.unpack_from("<I", head, 8)[0]):
+        raise Corrupt("the sample rate is missing")
+    if not audio or [x for x, _ in streams[NOTES][1:]] != [struct.pack("<I", len(x)) for x, _ in audio]:
         raise Corrupt("the notes don't fit the samples")
     ends, waiting, before, over = [], [], None, 0
     for k, (x, granule) in enumerate(audio):
@@ -153,6 +155,8 @@ def decode(data: bytes) -> tuple[bytes, list[float]]:
         ends += [min(before + n, granule) for n in accumulate(waiting)]
         before, waiting = granule, []
     samples = b"".join(x for x, _ in audio)
+    if over >= len(samples):
+        raise Corrupt("no samples are left")
     return samples[: len(samples) - over], [e / rate for e in ends]
 
 
@@ -186,7 +190,7 @@ READ = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
-        *(T.StructField(n, k) for n, k in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))),
+        *(T.StructField(n, k) for n, k in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("error", T.StringType()))),
     ]
 )
 
@@ -195,8 +199,15 @@ def _read(batches):
     for batch in pieces(batches, column="media"):
         rows = []
         for doc, n, media in zip(*(column(batch, c) for c in STORED.names), strict=True):
-            samples, times = decode(media)
-            rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(samples, times)))
+            if media is None:
+                rows.append((doc, n, *[None] * 6, "no media"))
+                continue
+            stored = len(media), hashlib.sha256(media).hexdigest()
+            try:
+                samples, times = decode(media)
+                rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), *stored, features(samples, times), None))
+            except Corrupt as e:
+                rows.append((doc, n, None, None, None, *stored, None, str(e)))
         yield batch_of(READ, list(zip(*rows, strict=True)) or [[]] * len(READ))
 
 
