@@ -13,8 +13,9 @@ down to order 2 ends in the same two bytes. Orders 0 and 1, at most 257 * 257 co
 A group scores each of its codes once, learnt or not; each part then meets the scores of its own codes by a join and sums them along
 its texts. A task holds a group's codes, or a text part and its codes; the driver gets orders 0 and 1 alone.
 
-Beside it a unigram base model over words is computed. Its counts are never limited: the HOT most frequent words, which are
-a bounded number of bounded size, are broadcast; the others meet their counts by a join.
+Beside it a unigram base model over words is computed. Its counts are never limited: the most frequent words, at most HOT of them by
+a histogram of the counts, are broadcast with their counts, those of more than HOT_BYTES as digests; the others, each rarer than these,
+meet their counts by a join.
 
 Cases: a null or empty text is its end alone. Texts of any length are scored whole. Rows that repeat a doc_id are each
 returned, and learnt from, once. A null doc_id is no held-out row. Without training texts all symbols are equally likely and
@@ -23,11 +24,11 @@ base_score is computed with N = V = 0. Extra columns are left behind.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -318,6 +319,31 @@ def _vocabulary(batches):
     yield batch_of(WORD, [list(total), list(total.values())])
 
 
+def word_key(word: bytes) -> bytes:
+    """What the broadcast words are known by: a long word by a blank, which is in no word, and its 128-bit digest."""
+    return word if len(word) <= HOT_BYTES else b" " + xxhash.xxh3_128_digest(word)
+
+
+def _keyed(batches):
+    for batch in batches:
+        yield batch_of(WORD, [[word_key(w) for w in column(batch, "word")], batch.column(batch.schema.get_field_index("count"))])
+
+
+def frequent_words(vocabulary: DataFrame, hot: int) -> list[tuple[bytes, int]]:
+    """(key, count) of the words with a count that at most ``hot`` words reach, as far as a histogram of counts in steps of 1/8 of a power of two tells."""
+    step = F.floor(F.log2("count") * 8).cast("long").alias("step")
+    cut, sizes = None, vocabulary.select(step).groupBy("step").count().collect()
+    for r in sorted(sizes, key=lambda r: -r.step):
+        hot -= r["count"]
+        if hot < 0:
+            break
+        cut = r.step
+    if cut is None:
+        return []
+    table = vocabulary.where(F.floor(F.log2("count") * 8) >= cut).mapInArrow(_keyed, WORD).toArrow()
+    return list(zip(table.column("word").to_pylist(), table.column("count").to_pylist(), strict=True))
+
+
 SCORED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -347,7 +373,7 @@ def _scored(shared, order: int):
                 split = text.lower().split()
                 own, w, c, k, s = Counter(split), [], [], int(end is not None), end or 0.0
                 for word, times in own.items():
-                    if (v := get(word)) is None:
+                    if (v := get(word if len(word) <= HOT_BYTES else word_key(word))) is None:
                         w.append(word)
                         c.append(times)
                     else:
@@ -377,8 +403,7 @@ def score(docs: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     texts = learnt.count()
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     tokens, kinds = tokens + texts, kinds + bool(texts)
-    frequent = vocabulary.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("count"), "word").limit(hot).toArrow()
-    known = {w: float(np.log10(c + 0.5)) for w, c in zip(frequent.column("word").to_pylist(), frequent.column("count").to_pylist(), strict=True)}
+    known = {w: float(np.log10(c + 0.5)) for w, c in frequent_words(vocabulary, hot)}
     shared = spark.sparkContext.broadcast((known, float(np.log10(texts + 0.5)) if texts else None))
     n = max(1, parts.select("part").distinct().count())
     values = seen.select("part", "code").join(valued(seen, order), "code").repartition(n, "part").groupBy("part")
