@@ -1,38 +1,39 @@
 """Exact substring dedup: each byte covered by a LENGTH-byte string that also starts earlier goes.
 
-Windows of LENGTH bytes are routed, not shipped. The smallest hash of the K-grams inside a window depends on its content
-alone, so equal windows have equal smallest hashes; consecutive windows of a document with the same one form a run, about
-one for each forty bytes. First only (anchor, digest of the run's bytes, document, start) is shuffled. A run whose bytes came
-earlier is covered as a whole. A run whose anchor has runs of other bytes too may share some windows with them, and one in
-which the smallest hash occurs twice may repeat its own; for the first of each such bytes alone the bytes are fetched and
-looked up in a family of suffix arrays.
-
-The family: in a partition, batches come in order of (document, start). A batch's windows are sorted into a suffix array,
-which is merge-scanned against every existing level; what is found there, or earlier in the batch, starts earlier. The
-batch's array then becomes a level, and levels of about equal size merge, so that there are logarithmically many.
-
-Equal runs are pre-aggregated in each batch before they are shuffled. An anchor with more than HOT different runs is
-routed window by window, by the windows' own hashes, so no anchor fills a partition.
+A family of suffix arrays finds what starts earlier. Batches come to it in order of (document, start). A batch gets a suffix array
+(positions sorted by prefix doubling), which is merge-scanned against each existing level; a window of LENGTH bytes that is found
+there, or earlier in the batch, is covered, and consecutive covered windows are a match of so many bytes more. What is new becomes
+a level, and levels of about equal size merge, so that there are logarithmically many.
+
+All windows of a corpus don't fit one family, so they are routed to many, by hashes that decide nothing but the way. The smallest
+hash of the K-grams inside a window depends on its content alone, so equal windows have equal smallest hashes; consecutive windows of
+a document with the same one, its anchor, form a run, about one for each forty bytes. First each part of the texts (PART bytes) has
+a family of its own: runs whose anchor occurs there again, or twice in the run, go through it, and only what is new there goes on. So a
+passage held by a third of all documents leaves a part once. Of these runs (anchor, document, start, number of windows) is shuffled.
+The bytes of runs whose anchor occurs elsewhere too are fetched and go through the families of the anchors' partitions, which take all
+else that is covered. An anchor with more than HOT runs of these is routed window by window, by the windows' own hashes, so that no
+anchor fills a partition; a window's copies are one for each part at most.
 
 Cases: a null or empty text has no bytes. Texts shorter than LENGTH lose nothing. Documents are ordered by doc_id; rows that
-repeat a doc_id and its text count once and get the same result. A null doc_id loses nothing and causes no loss. Extra columns are left behind.
+repeat a doc_id and its text count once and get the same result; other texts that share a doc_id are not earlier than one another where
+they are equal at the same place, and each loses the places that are covered in any of them. A null doc_id loses nothing and causes no loss. Extra columns are left behind.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, pieces, raw_text, written
+from .common import HOT_KEYS, attached, batch_of, column, discarded, joined, pieces, raw_text, tidied, written
 
 LENGTH, K = 100, 24
-HOT = 20_000
-#: Bytes of runs that one partition of the family should hold.
-FAMILY_BYTES = 2 << 20
+#: Runs of an anchor from which on it is routed by windows; such an anchor has HEAVY runs at least in some parts.
+HOT, HEAVY = 20_000, 8
+#: Bytes of text that a part holds, of runs that a partition's families should hold, and windows of a batch of a family.
+PART, FAMILY_BYTES, WINDOWS = 16 << 20, 2 << 20, 100_000
 _rng = np.random.Generator(np.random.PCG64(7919))
 BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 R = 0x9E3779B97F4A7C15 | 1
@@ -87,67 +88,122 @@ def twice(h: np.ndarray, least: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return (second < len(keys)) & (keys[np.minimum(second, len(keys) - 1)] < (group | ends + width - 1))
 
 
-RUN = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("covered", T.BooleanType())])
-
-
-def _runs(length: int, k: int):
-    def some(docs: list[int], texts: list[bytes]) -> list[np.ndarray]:
-        data = b"".join(texts)
-        sizes = np.array([len(t) for t in texts])
-        begins = np.cumsum(sizes) - sizes
-        least, h = anchors(np.frombuffer(data, dtype=np.uint8), length, k)
-        # The windows that cross documents are no windows.
-        valid = np.ones(len(least) + 1, dtype=bool)
-        valid[-1] = False
-        for end in (begins + sizes)[:-1].tolist():
-            valid[max(0, end - length + 1) : end] = False
-        new = np.concatenate(([True], (least[1:] != least[:-1]) | ~valid[:-2])) & valid[:-1]
-        starts = np.flatnonzero(new)
-        stop = np.flatnonzero(~valid)
-        ends = np.minimum(np.append(starts[1:], len(least)), stop[np.searchsorted(stop, starts)])
-        owner = np.searchsorted(begins, starts, side="right") - 1
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
-        return [least[starts].view(np.int64), digest.view(np.int64), np.array(docs, dtype=np.int64)[owner], (starts - begins[owner]).astype(np.int32), (ends - starts).astype(np.int32), twice(h, least, starts, ends, length - k + 1)]
-
-    def groups(batch):
-        docs, texts, size = [], [], 0
-        for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-            if doc is not None and text and len(text) >= length:
-                docs.append(doc)
-                texts.append(text)
-                size += len(text)
-                if size > 1 << 19:
-                    yield docs, texts
-                    docs, texts, size = [], [], 0
-        if docs:
-            yield docs, texts
+RUN = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
+
+
+def runs_of(texts: list[bytes], length: int, k: int) -> list[np.ndarray]:
+    """The runs of some texts: anchor, number of the text, start, number of windows, and whether the anchor occurs twice in it."""
+    data = b"".join(texts)
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    least, h = anchors(np.frombuffer(data, dtype=np.uint8), length, k)
+    # The windows that cross documents are no windows.
+    valid = np.ones(len(least) + 1, dtype=bool)
+    valid[-1] = False
+    for end in (begins + sizes)[:-1].tolist():
+        valid[max(0, end - length + 1) : end] = False
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | ~valid[:-2])) & valid[:-1]
+    starts = np.flatnonzero(new)
+    stop = np.flatnonzero(~valid)
+    ends = np.minimum(np.append(starts[1:], len(least)), stop[np.searchsorted(stop, starts)])
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    return [least[starts].view(np.int64), owner, (starts - begins[owner]), ends - starts, twice(h, least, starts, ends, length - k + 1)]
+
+
+def _grouped(texts: list[bytes], limit: int = 1 << 19):
+    """Numbers of consecutive texts, of about ``limit`` bytes together."""
+    first, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size > limit:
+            yield first, at + 1
+            first, size = at + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _local(length: int, k: int):
+    """Rows (anchor, document, start, n) for runs that go on, without an anchor for n windows that are covered, and without a document
+    for an anchor of n runs in this part, where that are HEAVY or more."""
 
     def run(batches):
-        for batch in pieces(batches, 32 << 20):
-            found = [some(*g) for g in groups(batch)]
-            if found:
-                cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-                order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-                cols = [c[order] for c in cols]
-                again = np.zeros(len(order), dtype=bool)
-                again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & ~((cols[2][1:] == cols[2][:-1]) & (cols[3][1:] == cols[3][:-1]))
-                # What is covered already needs no meeting; a key of its own deals it out evenly.
-                spread = np.where(again, cols[0] ^ (cols[2] * np.int64(0x9E3779B97F4A7C1 | 1) + cols[3]), cols[0])
-                yield batch_of(RUN, [spread, *cols[1:], again])
+        for batch in joined(batches, PART):
+            own = sorted({(d, t) for d, t in zip(column(batch, "doc_id"), column(batch, "text"), strict=True) if d is not None and t and len(t) >= length})
+            if not own:
+                continue
+            texts = [t for _, t in own]
+            docs = np.array([d for d, _ in own], dtype=np.int64)
+            found = []
+            for a, b in _grouped(texts):
+                one = runs_of(texts[a:b], length, k)
+                one[1] += a
+                found.append(one)
+            anchor, text, start, n, again = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(anchor, kind="stable")
+            same = anchor[order][1:] == anchor[order][:-1]
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            out = [[anchor[~again], docs[text[~again]], start[~again], n[~again]]]
+            covers = []
+            for old, new in _looked_up(np.flatnonzero(again), texts, docs, anchor, text, start, n, length):
+                covers.append(old)
+                out.append(new)
+            kept, heavy = np.unique(np.concatenate([x[0] for x in out]), return_counts=True)
+            kept, heavy = kept[heavy >= HEAVY], heavy[heavy >= HEAVY]
+            goes = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield batch_of(RUN, [goes[0], goes[1], goes[2].astype(np.int32), goes[3].astype(np.int32)])
+            yield batch_of(RUN, [kept, pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.int32()), heavy.astype(np.int32)])
+            for doc, begin, size in covers:
+                yield batch_of(RUN, [pa.nulls(len(doc), pa.int64()), doc, begin.astype(np.int32), size.astype(np.int32)])
 
     return run
 
 
+def _looked_up(rows, texts, docs, anchor, text, start, n, length: int):
+    """The rows' runs, in batches through a family: (document, start, n) of covered windows, and (anchor, document, start, n) of the others."""
+    family = Family(length)
+    total = np.cumsum(n[rows])
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + WINDOWS, side="right")))
+        own = rows[at:to]
+        # Runs at the same place of texts that share a doc_id come together, in order.
+        while to < len(rows) and docs[text[rows[to]]] == docs[text[own[-1]]]:
+            to += 1
+            own = rows[at:to]
+        at = to
+        data = [texts[t][a : a + m + length - 1] for t, a, m in zip(text[own].tolist(), start[own].tolist(), n[own].tolist(), strict=True)]
+        sizes, doc = n[own], docs[text[own]]
+        earlier = family.add(data, doc, start[own])
+        (who, begin, size), (who2, begin2, size2) = _stretches(earlier, sizes), _stretches(~earlier, sizes)
+        yield (doc[who], start[own][who] + begin, size), (anchor[own][who2], doc[who2], start[own][who2] + begin2, size2)
+
+
+def _stretches(flags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of consecutive true flags inside each run: the run's number, where in it, and how many."""
+    at = np.cumsum(sizes) - sizes
+    first = np.zeros(len(flags), dtype=bool)
+    first[at] = True
+    last = np.append(first[1:], True)
+    begin = np.flatnonzero(flags & (first | ~np.concatenate(([False], flags[:-1]))))
+    end = np.flatnonzero(flags & (last | ~np.append(flags[1:], False))) + 1
+    who = np.searchsorted(at, begin, side="right") - 1
+    return who, begin - at[who], end - begin
+
+
 FETCHED = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
 def _fetch(length: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 4 << 20):
             rows = []
             for doc, text, runs in zip(column(batch, "doc_id"), column(batch, "text"), column(batch, "runs"), strict=True):
+                text = text or b""
                 for r in runs:
                     at, n = r["start"], r["n"]
+                    if at + n + length - 1 > len(text):
+                        continue  # of another text with this doc_id
                     if not r["hot"]:
                         rows.append((r["anchor"], doc, at, text[at : at + n + length - 1]))
                         continue
@@ -158,51 +214,110 @@ def _fetch(length: int):
     return run
 
 
+class Level:
+    """A suffix array: bytes, and the sorted positions of distinct windows in them."""
+
+    def __init__(self, data: np.ndarray, array: np.ndarray, length: int):
+        self.data, self.array, self.length = data, array, length
+        # Eight bytes from each position on as one number that compares like them.
+        self.eights = np.ndarray((max(0, len(data) - 7),), dtype=">u8", buffer=data, strides=(1,))
+        self.offsets = [*range(0, length - 7, 8), *([length - 8] if length > 8 and length % 8 else [])] or [0]
+        self.first = self.word(array, 0)
+
+    def word(self, at: np.ndarray, offset: int) -> np.ndarray:
+        found = self.eights[at + offset].astype(np.uint64)
+        return found >> np.uint64(8 * (8 - self.length)) if self.length < 8 else found
+
+    def places(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of ``other``, in its order, how many of the own ones are smaller, and whether one is equal."""
+        low, high = (np.searchsorted(self.first, other.first, side=side) for side in ("left", "right"))
+        for offset in self.offsets[1:]:
+            rows = np.flatnonzero(low < high)
+            if not len(rows):
+                break
+            want = other.word(other.array[rows], offset)
+            low[rows], high[rows] = self._bound(low[rows], high[rows], want, offset, False), self._bound(low[rows], high[rows], want, offset, True)
+        return low, low < high
+
+    def _bound(self, a: np.ndarray, b: np.ndarray, want: np.ndarray, offset: int, after: bool) -> np.ndarray:
+        a, b = a.copy(), b.copy()
+        while len(rows := np.flatnonzero(a < b)):
+            mid = (a[rows] + b[rows]) >> 1
+            own = self.word(self.array[mid], offset)
+            up = own <= want[rows] if after else own < want[rows]
+            a[rows[up]] = mid[up] + 1
+            b[rows[~up]] = mid[~up]
+        return a
+
+    def merged(self, other: Level) -> Level:
+        """The level of both, which share no window."""
+        at, _ = self.places(other)
+        data = np.concatenate((self.data, other.data))
+        return Level(data, np.insert(self.array, at, other.array + len(self.data)), self.length)
+
+
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of the ``length`` bytes at each position, by prefix doubling from eight bytes on. ``data`` ends with enough zeros."""
+    size = min(8, length)
+    found = Level(data, np.empty(0, dtype=np.int64), size).word(np.arange(len(data) - 7), 0)
+    rank = np.unique(found, return_inverse=True)[1]
+    while size < length:
+        step = min(size, length - size)
+        found = rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:]
+        rank = np.unique(found, return_inverse=True)[1]
+        size += step
+    return rank
+
+
 class Family:
     """Suffix arrays of all that was added, in levels whose sizes grow geometrically."""
 
     def __init__(self, length: int = LENGTH):
         self.length, self.levels = length, []
 
-    def add(self, runs: list[bytes]) -> np.ndarray:
-        """For each window of each run, in order, whether it came earlier; afterwards all of them are in the family."""
-        data = np.frombuffer(b"".join(runs), dtype=np.uint8)
-        starts = np.concatenate([np.arange(len(r) - self.length + 1) for r in runs]) + np.repeat(np.cumsum([len(r) for r in runs]) - [len(r) for r in runs], [len(r) - self.length + 1 for r in runs])
-        windows = np.empty((len(starts), self.length + 1), dtype=np.uint8)
-        windows[:, :-1] = np.lib.stride_tricks.sliding_window_view(data, self.length)[starts]
-        windows[:, -1] = 1  # NumPy drops zeros at the end
-        keys = windows.view(f"S{self.length + 1}").ravel()
-        order = np.argsort(keys, kind="stable")
-        array = keys[order]
-        same = np.concatenate(([False], array[1:] == array[:-1]))
-        earlier = np.zeros(len(keys), dtype=bool)
-        earlier[order] = same
-        own = array[~same]
-        known = np.zeros(len(own), dtype=bool)
+    def add(self, runs: list[bytes], docs=None, places=None) -> np.ndarray:
+        """For each window of each run, in order, whether it came earlier; afterwards all of them are in the family. With ``docs`` and
+        ``places``, where the runs begin, an equal window at the same place of the same document isn't earlier."""
+        sizes = np.array([len(r) for r in runs])
+        begins, counts = np.cumsum(sizes) - sizes, sizes - self.length + 1
+        run = np.repeat(np.arange(len(runs)), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = begins[run] + inside
+        data = np.frombuffer(b"".join([*runs, bytes(8 + self.length)]), dtype=np.uint8)
+        rank = ranks(data, self.length)[starts]
+        order = np.argsort(rank, kind="stable")
+        new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+        group = np.cumsum(new) - 1
+        repeat = ~new
+        if docs is not None:
+            place = np.asarray(places)[run] + inside
+            lead = order[new][group]
+            repeat &= (np.asarray(docs)[run][order] != np.asarray(docs)[run][lead]) | (place[order] != place[lead])
+        earlier = np.zeros(len(starts), dtype=bool)
+        earlier[order] = repeat
+        own = Level(data[: sizes.sum() + 8], starts[order][new], self.length)
+        known = np.zeros(len(own.array), dtype=bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            known |= level[at] == own
-        earlier[order] |= known[np.cumsum(~same) - 1]
-        own = own[~known]
-        if len(own):
-            self.levels.append(own)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            two = np.concatenate([self.levels.pop(), self.levels.pop()])
-            two.sort(kind="stable")
-            self.levels.append(two)
+            known |= level.places(own)[1]
+        earlier[order] |= known[group]
+        if not known.all():
+            self.levels.append(Level(own.data, own.array[~known], self.length))
+        while len(self.levels) > 1 and len(self.levels[-2].array) <= 2 * len(self.levels[-1].array):
+            small = self.levels.pop()
+            self.levels.append(self.levels.pop().merged(small))
         return earlier
 
 
 COVER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
 
 
-def _families(length: int, windows: int = 100_000):
+def _families(length: int):
     def run(batches):
         family, waiting, size = Family(length), [], 0
         for batch in batches:
             for row in zip(*(column(batch, c) for c in ("doc_id", "start", "data")), strict=True):
-                # Rows of one document and start come together and are looked up in the same batch as one.
-                if size > windows and row[:2] != waiting[-1][:2]:
+                # Rows of one document and start come together and are looked up in the same batch.
+                if size > WINDOWS and row[:2] != waiting[-1][:2]:
                     yield _covers(family, waiting, length)
                     waiting, size = [], 0
                 if not (waiting and waiting[-1] == row):
@@ -215,40 +330,32 @@ def _families(length: int, windows: int = 100_000):
 
 
 def _covers(family: Family, rows: list, length: int) -> pa.RecordBatch:
-    earlier = family.add([r[2] for r in rows])
-    counts = np.array([len(r[2]) - length + 1 for r in rows])
-    at = np.cumsum(counts) - counts
-    first = np.zeros(len(earlier), dtype=bool)
-    first[at] = True
-    begin = np.flatnonzero(earlier & (first | ~np.concatenate(([False], earlier[:-1]))))
-    last = np.append(first[1:], True)
-    end = np.flatnonzero(earlier & (last | ~np.append(earlier[1:], False))) + 1
-    owner = np.searchsorted(at, begin, side="right") - 1
-    doc = np.array([r[0] for r in rows], dtype=np.int64)
-    start = np.array([r[1] for r in rows], dtype=np.int64)
-    return batch_of(COVER, [doc[owner], (start[owner] + begin - at[owner]).astype(np.int32), (end - begin).astype(np.int32)])
+    doc, start = (np.array([r[j] for r in rows], dtype=np.int64) for j in (0, 1))
+    earlier = family.add([r[2] for r in rows], doc, start)
+    who, begin, n = _stretches(earlier, np.array([len(r[2]) - length + 1 for r in rows]))
+    return batch_of(COVER, [doc[who], (start[who] + begin).astype(np.int32), n.astype(np.int32)])
 
 
 def covered(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, start, n): n windows from the byte ``start`` on that also start earlier."""
     docs = docs.select("doc_id", "text")
-    runs = raw_text(docs).mapInArrow(_runs(length, k), RUN)
-    # One exchange, by anchor, serves all of these.
-    by = Window.partitionBy("anchor")
-    one = Window.partitionBy("anchor", "run", "n", "covered").orderBy("doc_id", "start")
-    seen = runs.withColumn("rank", F.dense_rank().over(one)).withColumn("low", F.min(F.when(~F.col("covered"), F.col("run"))).over(by)).withColumn("high", F.max(F.when(~F.col("covered"), F.col("run"))).over(by))
-    seen = seen.withColumn("covered", F.col("covered") | (F.col("rank") > 1)).where("covered or twice or low != high").select("anchor", "doc_id", "start", "n", "covered")
-    seen = written(seen, "runs")
-    whole = seen.where("covered").select("doc_id", "start", "n")
-    firsts = seen.where("not covered")
-    busy = firsts.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = firsts.join(busy, "anchor", "left").select("doc_id", F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
-    wanted = marked.groupBy("doc_id").agg(F.collect_set("r").alias("runs"))
-    fetched = raw_text(docs).join(wanted, "doc_id").mapInArrow(_fetch(length), FETCHED)
-    total = firsts.agg(F.sum(F.col("n") + length), F.count("*")).first()
-    parts = max(8, -(-(total[0] or 0) // FAMILY_BYTES))
-    part = written(fetched.repartition(parts, "key").sortWithinPartitions("doc_id", "start", "data").mapInArrow(_families(length), COVER), "covers")
-    return whole.union(part)
+    runs = written(raw_text(docs).mapInArrow(tidied(_local(length, k)), RUN), "runs")
+    alive = runs.where("anchor is not null and doc_id is not null")
+    # At most HOT_KEYS anchors have so many runs.
+    limit = max(hot, alive.count() // HOT_KEYS)
+    busy = written(runs.where("doc_id is null").groupBy("anchor").agg(F.sum("n").alias("k")).where(F.col("k") > limit).select("anchor"), "busy")
+    many = F.count("*").over(Window.partitionBy("anchor"))
+    some = alive.join(F.broadcast(busy), "anchor", "left_anti").withColumn("k", many).where("k > 1").select(*RUN.names, F.lit(False).alias("hot"))
+    shared = written(some.union(alive.join(F.broadcast(busy), "anchor").select(*RUN.names, F.lit(True))), "shared")
+    count, size = shared.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("hot"), F.col("n") * length).otherwise(F.col("n") + length)), F.lit(0))).first()
+    wanted = written(shared.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("runs")), "wanted")
+    discarded(shared, busy)
+    own = attached(raw_text(docs), wanted, "id", 64 * count).where("runs is not null").select("doc_id", "text", "runs")
+    parts = max(8, -(-size // FAMILY_BYTES))
+    found = own.mapInArrow(_fetch(length), FETCHED).repartition(parts, "key").sortWithinPartitions("doc_id", "start", "data").mapInArrow(tidied(_families(length)), COVER)
+    out = written(found.union(runs.where("anchor is null").select(*COVER.names)), "covers")
+    discarded(runs, wanted)
+    return out
 
 
 REMOVED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
@@ -284,6 +391,8 @@ def _remove(length: int):
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that are kept, for each row."""
-    ranges = covered(docs, length, k, hot).groupBy(F.col("doc_id").alias(PRIVATE + "id")).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    own = raw_text(docs)
-    return own.join(ranges, own["doc_id"] == ranges[PRIVATE + "id"], "left").select("doc_id", "text", "ranges").mapInArrow(_remove(length), REMOVED)
+    found = covered(docs, length, k, hot)
+    ranges = written(found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
+    size = ranges.agg(F.coalesce(F.sum(F.size("ranges") + 2), F.lit(0))).first()[0]
+    discarded(found)
+    return attached(raw_text(docs.select("doc_id", "text")), ranges, "id", 32 * size).select("doc_id", "text", "ranges").mapInArrow(tidied(_remove(length)), REMOVED)
