@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, estimated_bytes, joined, small_batches, tidied, written
+from .common import batch_of, joined, small_batches, tidied, written
 from .word_bpe import WordBpe, spread
 
 TOKENS, END = 4096, 1
+#: About the most pieces of one length that a task ranks.
+SALT_ROWS = 200_000
 #: Most distinct words whose ids a worker keeps from one part of its texts to the next.
 MEMORY = 400_000
 #: Bytes of text that are tokenized together.
@@ -222,9 +224,10 @@ def pack(docs: DataFrame, tokens: int = TOKENS, documents: int | None = None, at
     """The pieces of all documents with their sequence_id and offset there. ``documents`` and ``attention`` cap a sequence's
     pieces and sum of squared lengths; left out, they are what the token capacity implies."""
     cut_up = written(cut(docs, tokens, path, end), "pieces")
-    found = patterns({r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}, tokens, documents, attention, weights, rule)
-    salts = max(64, min(4096, estimated_bytes(cut_up) // (8 << 20)))
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    counts = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}
+    found = patterns(counts, tokens, documents, attention, weights, rule)
+    salts = max(64, -(-max(counts.values(), default=0) // SALT_ROWS))
+    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("k"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
