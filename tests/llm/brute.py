@@ -101,9 +101,10 @@ def ogg_crc(data):
 
 
 def unigram(docs):
+    """Rows are learnt from one by one, those that repeat a doc_id too; such rows have the same text here."""
     tokens = {d: [*words(t), None] for d, t in docs}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
-    c = Counter(w for d, t in tokens.items() if not held[d] for w in t)
+    c = Counter(w for d, t in docs if not held[d] for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
     return {d: (held[d], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for d, t in tokens.items()}
 
@@ -142,3 +143,70 @@ class Ppm:
 
     def score(self, text):
         return sum(math.log10(self.chance(c, s)) for c, s in self.symbols(text))
+
+
+def lexicon(learnt, module):
+    """Weights of patterns from (text, toxic) rows, by loops; constants, folding and exceptions are the module's fixed values."""
+    both = Counter(), Counter()
+    sizes = Counter(toxic for _, toxic in learnt)
+    if not sizes[0] or not sizes[1]:
+        return {}
+    for text, toxic in learnt:
+        found = set()
+        for word in set(module.folded(text or "").split(" ")) - {""}:
+            if 3 <= len(word) <= 24:
+                found.add(" " + word + " ")
+            for n in module.BEGINNINGS:
+                if len(word) > n:
+                    found.add(" " + word[:n])
+        both[toxic].update(found)
+    weights = {}
+    for pattern, t in both[1].items():
+        w = math.log((t + 0.5) / (sizes[1] + 1)) - math.log((both[0][pattern] + 0.5) / (sizes[0] + 1))
+        if t >= module.SUPPORT and t >= module.SHARE * sizes[1] and w >= module.LEAST:
+            weights[pattern] = w
+    return {p: w for p, w in weights.items() if not any(len(q) < len(p) and p.startswith(q) and weights[q] >= w - 0.5 for q in weights)}
+
+
+def toxicity(text, weights, fit, module):
+    """The score of a text: each word's strongest pattern that isn't inside an exception phrase, by a loop over words and patterns."""
+    if not weights:
+        return 0.0 if fit == (0.0, 0.0, 0.0) else 1 / (1 + math.exp(-fit[0]))
+    line = module.folded(text) if text else ""
+    at, total = 0, 0.0
+    free = set()
+    for phrase in module.EXCEPTIONS:
+        own = module.folded(phrase)
+        i = line.find(own)
+        while i >= 0:
+            free.update(range(i, i + len(own) - 1))
+            i = line.find(own, i + 1)
+    for word in line.split(" ")[1:-1] if line.strip() else []:
+        own = f" {word} "
+        best = max((w for p, w in weights.items() if own.startswith(p)), default=0.0)
+        total += 0.0 if at in free else best
+        at += len(word) + 1
+    scaled = total / math.log2(2 + line.count(" ")) if total else 0.0
+    return 1 / (1 + math.exp(-min(30, max(-30, fit[0] + fit[1] * math.log1p(total) + fit[2] * scaled))))
+
+
+def url(text, rules, weights, bias):
+    """host, path, rule, verdict and score of a URL."""
+    host = path = ""
+    if text and "://" in text:
+        rest = text[text.index("://") + 3 :]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.translate(LOWER)
+    total = n = 0
+    for kind, own in (("h", f"^{host}$"), ("p", f"^{path}$")):
+        for size in (3, 4):
+            for i in range(len(own) - size + 1):
+                total += weights[int.from_bytes(hashlib.md5((kind + own[i : i + size]).encode()).digest()[:2], "big") % len(weights)]
+                n += 1
+    score = 1 / (1 + math.exp(-(bias + total / max(1, n))))
+    best = None
+    for h, p, v in rules:
+        if path.startswith(p) and ("." + host).endswith("." + h) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, v)
+    return host, path, best and best[0], best[1] if best else "block" if score >= 0.5 else "allow", score

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm import brute
-from wardline.llm import decontaminate, line_dedup, near_dup, ogg, packing, ppm, queries, sharding, suffix_dedup, toxicity, url_filter
+from wardline.llm import common, decontaminate, line_dedup, near_dup, ogg, packing, ppm, queries, sharding, suffix_dedup, toxicity, url_filter
 
 EDGE = "a line that is longer than forty characters, Repeated"
 
@@ -75,10 +75,37 @@ def test_line_dedup(spark, docs, edge, small):
     assert any(r.n_dropped for r in got)
 
 
-def test_line_dedup_without_broadcast(spark, edge, monkeypatch):
-    want = {tuple(r) for r in line_dedup.repeated_lines(spark.read.parquet(f"{edge}/documents.parquet")).collect()}
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
-    assert want == {tuple(r) for r in line_dedup.repeated_lines(spark.read.parquet(f"{edge}/documents.parquet")).collect()} != set()
+def test_line_dedup_in_slices(spark, edge, monkeypatch):
+    """Beyond the limit of what is broadcast the filters still let through the same lines, slice by slice."""
+    for folder in (DATA, edge):
+        df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+        whole = line_dedup.suspects(df)
+        count, lines = whole.count(), {tuple(r) for r in line_dedup.repeated_lines(df).collect()}
+        every = sum(len([d for d in {*line_dedup.digests(t.encode() if t else None, 40)} if d]) for _, t in df.collect())
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 1)
+        assert line_dedup.suspects(df).count() == count < every
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_KEYS", 1 << 30)
+        assert {tuple(r) for r in line_dedup.repeated_lines(df).collect()} == lines != set()
+        monkeypatch.undo()
+
+
+def test_sparse_attachment(spark):
+    docs = spark.createDataFrame([(k % 7 or None, f"t{k}") for k in range(20)], "doc_id long, text string")
+    extra = spark.createDataFrame([(1, [1, 2]), (3, [5])], "id long, found array<int>")
+    want = sorted((d or 0, t, {1: [1, 2], 3: [5]}.get(d)) for d, t in docs.collect())
+    for size, ids in ((0, 9), (1 << 40, 9), (1 << 40, 1)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "BROADCAST_IDS", ids)
+            got = common.attached(docs, extra, "id", size)
+            assert got.columns == ["doc_id", "text", "found"] and sorted((d or 0, t, f) for d, t, f in got.collect()) == want
+
+
+def test_other_columns_keep_their_names(spark):
+    rows = [(k, EDGE, "a", "b", "c") for k in range(6)]
+    names = ["doc_id", "text", "__wl_out", "__wl_drop", "__wl_id"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, names))
+    assert got.columns == [*names, "__wl_out_"] and sorted(r.text for r in got.collect()) == [""] * 5 + [EDGE]
 
 
 def test_near_dup(spark, docs, edge, small):
@@ -230,11 +257,32 @@ def test_ogg_query(spark, docs, edge, small):
         assert all(len(x) == 1 for x in by.values())
 
 
+def test_media_that_cannot_be_read(spark):
+    good = ogg.encode(ogg.padded(b"abc"))
+    other = b"".join(ogg.stream_pages(7, [(b"x", 0)]))
+    silent = b"".join(ogg.stream_pages(ogg.AUDIO, [(ogg.MAGIC + bytes(6), 0)]) + ogg.stream_pages(ogg.NOTES, [(ogg.NOTE_MAGIC, 0)]))
+    short = b"".join(ogg.stream_pages(ogg.AUDIO, [(ogg.MAGIC, 0)]) + ogg.stream_pages(ogg.NOTES, [(ogg.NOTE_MAGIC, 0)]))
+    media = [good, None, b"", b"OggS", good[:-1], good[:40] + b"!" + good[41:], other, silent, short]
+    got = rows_of(ogg.described(spark.createDataFrame([(k, 3, m) for k, m in enumerate(media)], ogg.STORED)))
+    assert got[0].error is None and got[0].payload_bytes == 64
+    for k, m in enumerate(media[1:], 1):
+        assert got[k].error and got[k].feature is None and got[k].payload_sha256 is None
+        assert got[k].media_bytes == (None if m is None else len(m))
+
+
+def test_ogg_features(spark, small, edge):
+    """The feature column against sums over single samples."""
+    texts = dict(small)
+    for r in queries.op4_ogg(spark, edge).collect():
+        x = [c - 128 for c in ogg.padded((texts[r.doc_id] or "").encode())]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        packets = -(-len(x) // ogg.PACKET)
+        want = f"packets={packets};seconds={len(x) / 8000:.6f};mean={sum(x) / len(x):.6f};rms={math.sqrt(sum(v * v for v in x) / len(x)):.6f};peak={max(map(abs, x))};crossings={crossings}"
+        assert r.feature == want and r.error is None
+
+
 def test_base_scores(spark, docs, edge, small):
     for folder, own in both(spark, docs, edge, small):
-        unique = dict(own)
-        if len(unique) < len(own):
-            continue
         want = brute.unigram(own)
         for r in queries.op5_ppm(spark, folder).collect():
             held, n, known, total, base = want[r.doc_id]
@@ -242,11 +290,18 @@ def test_base_scores(spark, docs, edge, small):
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
-def test_rare_words_meet_their_counts(spark, docs):
-    df = spark.read.parquet(f"{DATA}/documents.parquet")
-    want = brute.unigram(docs)
-    for r in ppm.score(df, order=1, hot=5).collect():
-        assert (r.n_known, r.base_score) == (want[r.doc_id][2], pytest.approx(want[r.doc_id][4], rel=1e-9))
+def test_rare_words_meet_their_counts(spark, edge, small):
+    """With few, some and all words broadcast, long ones among them."""
+    df = spark.read.parquet(f"{edge}/documents.parquet")
+    want = brute.unigram(small)
+    for hot in (0, 5, 300):
+        for r in ppm.score(df, order=1, hot=hot).collect():
+            assert (r.n_known, r.base_score) == (want[r.doc_id][2], pytest.approx(want[r.doc_id][4], rel=1e-9))
+    words = spark.createDataFrame([(b"w%d" % k, 1 + k % 90) for k in range(900)] + [(b"x" * 500, 80)], ppm.WORD)
+    found = ppm.frequent_words(words, 200)
+    least = min(n for _, n in found)
+    assert 100 <= len(found) <= 200 and (ppm.word_key(b"x" * 500), 80) in found
+    assert len(found) == words.where(f"count >= {least}").count()
 
 
 def test_ppm_is_right(spark, docs):
@@ -319,6 +374,26 @@ def test_folding_and_exceptions():
     assert lexicon.features("an idiot " + "x " * 1000)[1] < lexicon.features("an idiot")[1]
 
 
+def test_toxicity_equals_plain(spark, edge, small):
+    """Weights, fit and scores of whole tables against loops over words and patterns."""
+    larger = DATA.replace("0.001", "0.01")
+    for folder, own in ((larger, [(r.doc_id, r.text) for r in spark.read.parquet(f"{larger}/documents.parquet").collect()]), (edge, small)):
+        labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+        toxic = {}
+        for d, t in labels:
+            if d is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+                toxic[d] = max(t, toxic.get(d, 0))
+        learnt = [(t, toxic[d]) for d, t in own if d in toxic]
+        want = brute.lexicon(learnt, toxicity)
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        made = toxicity.fit(table, spark.read.parquet(f"{folder}/labels.parquet"))
+        assert made.weights == pytest.approx(want) != {}
+        got = sorted((r.doc_id, r.score) for r in queries.op6_toxicity(spark, folder).collect())
+        scores = sorted((d, brute.toxicity(t or "", want, made.fit, toxicity)) for d, t in own)
+        assert [d for d, _ in got] == [d for d, _ in scores]
+        assert [x for _, x in got] == pytest.approx([x for _, x in scores], abs=1e-9)
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.scores(spark.read.parquet(f"{edge}/documents.parquet"), none).collect()} == {0.0}
@@ -335,11 +410,28 @@ def test_decontaminate(spark, docs, edge, small):
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest())
             assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= n)
         table = spark.read.parquet(f"{folder}/benchmark.parquet")
-        blocks = decontaminate.scan(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), table, limit=60).collect()
-        for r in blocks:
-            spans = r["__wl_hits"].spans
+        made = list(decontaminate.automata(table, limit=4000))
+        assert len(made) > 2 and all(len(a.names) == 1 or a.bytes() <= 8000 for a in made)
+        for r in decontaminate.scan(spark.read.parquet(f"{folder}/documents.parquet"), table, "hits", limit=4000).collect():
+            spans = r.hits.spans
             assert [k for a, b in zip(spans[::2], spans[1::2], strict=True) for k in range(a, b)] == want[r.doc_id][1]
-            assert sorted(r["__wl_hits"]["items"]) == want[r.doc_id][2]
+            assert r.hits.n_words == want[r.doc_id][0] and sorted(r.hits["items"]) == want[r.doc_id][2]
+
+
+def test_each_block_is_a_stage_of_its_own(spark, edge):
+    table = spark.read.parquet(f"{edge}/benchmark.parquet")
+    assert len(list(decontaminate.automata(table, limit=2000))) >= 5
+    plan = decontaminate.scan(spark.read.parquet(f"{edge}/documents.parquet"), table, "hits", limit=2000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_items_without_a_name(spark):
+    docs = spark.createDataFrame([(1, "w x y z " + " ".join(f"u{k}" for k in range(20)))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "x y"), (None, "y z"), (4, "z u0")], "item_id long, text string")
+    r = decontaminate.verdicts(docs, items).first()
+    assert (r.n_hit, r["items"], r.contaminated) == (4, ["4", None], True)
+    r = decontaminate.verdicts(docs, items, limit=1).first()
+    assert (r.n_hit, r["items"], r.contaminated) == (4, ["4", None], True)
 
 
 @settings(max_examples=150, deadline=None)
@@ -383,32 +475,79 @@ def test_family(batches):
                 want.append(r[i : i + 5] in seen)
                 seen.add(r[i : i + 5])
         assert got.tolist() == want
-    assert len(family.levels) <= 2 + math.log2(1 + sum(map(len, family.levels)))
+    assert len(family.levels) <= 2 + math.log2(1 + sum(len(x.array) for x in family.levels))
+    for level in family.levels:
+        own = [level.data[i : i + 5].tobytes() for i in level.array]
+        assert own == sorted(set(own))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=100, max_size=160), min_size=1, max_size=6), st.integers(0, 60), st.sampled_from([8, 9, 37, 64, 100]))
+def test_long_windows_in_the_family(runs, shift, length):
+    runs = [*runs, (runs[0] * 2)[shift:], runs[-1]]
+    family, seen = suffix_dedup.Family(length), set()
+    for r in runs:
+        want = []
+        for i in range(len(r) - length + 1):
+            want.append(r[i : i + length] in seen)
+            seen.add(r[i : i + length])
+        if len(r) >= length:
+            assert family.add([r]).tolist() == want
+
+
+def test_substrings_of_many_parts(spark, monkeypatch, docs):
+    """Parts of a text or two, so that nearly all goes through the partitions' families, hot anchors window by window."""
+    own = docs[:60]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(30)
+    want = brute.substrings(own)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 1)
+    for hot in (1, 10**6):
+        got = suffix_dedup.dedup_substrings(df, hot=hot).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+
+
+def test_texts_that_share_an_id(spark):
+    text = "".join(random.Random(2).choices("abcdefgh", k=300))
+    rows = [(1, text), (1, text), (1, text + "tail"), (2, text)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 300, 0), (1, 300, 0), (1, 304, 0), (2, 300, 300)]
 
 
 def test_urls(spark, edge):
+    """Against a version that shares only the labelled table's weights and the rules."""
     for folder in (DATA, edge):
         rows = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()
         got = rows_of(url_filter.judge(spark.read.parquet(f"{folder}/pages.parquet")), "page_id")
         weights, bias = url_filter.weights()
         for r in rows:
-            host, path = url_filter.parts(r.url or "")
-            fit = [x for x in url_filter.RULES if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
-            rule = max(fit, key=lambda x: len(x[0] + x[1]), default=None)
-            grams = url_filter.hashed(host, path)
-            score = 1 / (1 + math.exp(-(bias + sum(weights[g] for g in grams) / max(1, len(grams)))))
+            host, path, rule, verdict, score = brute.url(r.url, url_filter.RULES, weights, bias)
             g = got[r.page_id]
-            assert (g.host, g.path, g.rule) == (host, path, rule[0] + rule[1] if rule else None)
-            assert g.score == pytest.approx(score) and g.verdict == (rule[2] if rule else "block" if score >= 0.5 else "allow")
+            assert (g.host, g.path, g.rule, g.verdict) == (host, path, rule, verdict)
+            assert g.score == pytest.approx(score)
+
 
+def test_url_rules_by_hand(spark):
+    cases = [
+        ("http://EXAMPLE.com/en/1", "example.com", "/en/1", "com/en/", "block"),
+        ("http://a.example.com/en/77?x#y", "a.example.com", "/en/77", "example.com/en/7", "allow"),
+        ("x://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net", "/de/8", "example.net/de/8", "block"),
+        ("http://org/es/", "org", "/es/", "org/es/", "block"),
+        ("http://q.org?a/es/", "q.org", "", None, None),
+    ]
+    got = rows_of(url_filter.judge(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "page_id long, url string")), "page_id")
+    for k, (_, host, path, rule, verdict) in enumerate(cases):
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule) and verdict in (None, got[k].verdict)
 
-def test_url_model_learns_its_table():
-    weights, bias = url_filter.weights()
+
+def test_url_model_judges_hosts_it_has_not_seen():
     right = 0
-    for url, label in url_filter.LABELLED:
-        grams = url_filter.hashed(*url_filter.parts(url))
-        right += (bias + sum(weights[g] for g in grams) / len(grams) >= 0) == bool(label)
-    assert right == len(url_filter.LABELLED)
+    for fold in range(5):
+        weights, bias = url_filter.trained([r for k, r in enumerate(url_filter.LABELLED) if k % 5 != fold])
+        for url, label in url_filter.LABELLED[fold::5]:
+            right += (brute.url(url, [], weights, bias)[4] >= 0.5) == bool(label)
+    assert right >= 0.8 * len(url_filter.LABELLED)
+    assert len({url.split("/")[2] for url, _ in url_filter.LABELLED}) == len(url_filter.LABELLED)
 
 
 def test_sharding(spark, docs, edge, small, tmp_path):
@@ -422,10 +561,39 @@ def test_sharding(spark, docs, edge, small, tmp_path):
             assert all(sorted(x) == list(range(len(x))) for x in slots.values())
             counts = [len(slots[k]) for k in range(40)]
             assert max(counts) - min(counts) <= 1
+    for folder, own in both(spark, docs, edge, small):
+        texts, sizes = defaultdict(list), Counter()
+        for d, t in own:
+            texts[d].append((t or "").encode())
+        got = queries.op10_sharding(spark, folder).collect()
+        assert Counter(r.doc_id for r in got) == Counter(d for d, _ in own)
+        for r in got:
+            b = texts[r.doc_id][0]
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "rows", None)
+            sizes[r.shard] += 1
+            assert 0 <= r.shard < 40 and 0 <= r.slot < len(own)
+        assert len({(r.shard, r.slot) for r in got}) == len(own)
+        assert all(n in (len(own) // 40, -(-len(own) // 40)) for n in [sizes[k] for k in range(40)])
     sharding.write(spark.read.parquet(f"{DATA}/documents.parquet"), str(tmp_path / "out"), shards=4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(docs)
 
 
+def test_shards_do_not_follow_the_files(spark, tmp_path, small):
+    """The same rows in other files, sizes and orders get the same shards; one doc_id, or rows equal in all, fill no bucket."""
+    rows = small + [(None, f"text {k}") for k in range(50)] + [(7, "same row")] * 400 + [(8, f"text {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for k, (parts, codec) in enumerate(((1, "none"), (7, "zstd"), (3, "snappy"))):
+        df.orderBy(F.rand(k)).repartition(parts).write.option("compression", codec).parquet(f"{tmp_path}/{k}")
+        done = sharding.shard(spark.read.parquet(f"{tmp_path}/{k}"), shards=5, bucket_bytes=8000, copies=20).collect()
+        found.append(sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "", r["__wl_shard"], r["__wl_slot"]) for r in done))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    places = sorted(s * 5 + h for _, _, h, s in found[0])
+    assert places == list(range(len(rows)))
+    same = [s * 5 + h for d, t, h, s in found[0] if t == "same row"]
+    assert max(same) - min(same) > 420
+
+
 def test_queries_on_edge_and_empty_tables(spark, edge, tmp_path):
     for name in ("documents", "labels", "benchmark", "pages"):
         spark.read.parquet(f"{edge}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
@@ -437,15 +605,19 @@ def test_queries_on_edge_and_empty_tables(spark, edge, tmp_path):
         assert found == (pages if "url" in name else n) or name in ("op3_packing", "pipeline"), name
 
 
-def test_null_ids(spark):
+def test_null_ids(spark, tmp_path):
     rows = [(None, EDGE), (None, "x" * 300), (1, "x" * 300), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(None, 1), (1, 0)], "doc_id long, toxic int")
     items = spark.createDataFrame([(None, "a b"), (1, "x" * 300)], "item_id long, text string")
     found = [line_dedup.dedup_lines(df), near_dup.components(df), packing.pack(df), ogg.described(ogg.store(df)), ppm.score(df), toxicity.scores(df, labels), decontaminate.verdicts(df, items), suffix_dedup.dedup_substrings(df), sharding.shard(df)]
     assert [x.count() for x in found] == [4] * 9
-    for stage in (toxicity.stage, line_dedup.stage, near_dup.stage, decontaminate.stage):
-        pass
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda stage: Counter((r.doc_id, r.text) for r in stage(spark, df, str(tmp_path)).collect())
+    assert left(toxicity.stage) == left(line_dedup.stage) == left(near_dup.stage) == Counter(rows)
+    assert left(decontaminate.stage) == Counter([r for r in rows if r[1] != "x" * 300])
+    assert packing.stage(spark, df, str(tmp_path)).where("doc_id is null").count() == 3
 
 
 def test_pipeline(spark, edge, docs, small):
