@@ -33,7 +33,7 @@ LENGTH, K = 100, 24
 #: Runs of an anchor from which on it is routed by windows; such an anchor has HEAVY runs at least in some parts.
 HOT, HEAVY = 20_000, 8
 #: Bytes of text that a part holds, of runs that a partition's families should hold, and windows of a batch of a family.
-PART, FAMILY_BYTES, WINDOWS = 16 << 20, 2 << 20, 100_000
+PART, FAMILY_BYTES, WINDOWS = 16 << 20, 4 << 20, 400_000
 _rng = np.random.Generator(np.random.PCG64(7919))
 BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 R = 0x9E3779B97F4A7C15 | 1
@@ -172,9 +172,12 @@ def _looked_up(rows, texts, docs, anchor, text, start, n, length: int):
             to += 1
             own = rows[at:to]
         at = to
-        data = [texts[t][a : a + m + length - 1] for t, a, m in zip(text[own].tolist(), start[own].tolist(), n[own].tolist(), strict=True)]
         sizes, doc = n[own], docs[text[own]]
-        earlier = family.add(data, doc, start[own])
+        # Runs that follow one another in a text come as one.
+        joint = np.concatenate(([True], (text[own][1:] != text[own][:-1]) | (start[own][1:] != (start[own] + sizes)[:-1])))
+        whole = np.add.reduceat(sizes, np.flatnonzero(joint))
+        data = [texts[t][a : a + m + length - 1] for t, a, m in zip(text[own][joint].tolist(), start[own][joint].tolist(), whole.tolist(), strict=True)]
+        earlier = family.add(data, doc[joint], start[own][joint])
         (who, begin, size), (who2, begin2, size2) = _stretches(earlier, sizes), _stretches(~earlier, sizes)
         yield (doc[who], start[own][who] + begin, size), (anchor[own][who2], doc[who2], start[own][who2] + begin2, size2)
 
@@ -236,7 +239,14 @@ class Level:
             if not len(rows):
                 break
             want = other.word(other.array[rows], offset)
-            low[rows], high[rows] = self._bound(low[rows], high[rows], want, offset, False), self._bound(low[rows], high[rows], want, offset, True)
+            one = high[rows] - low[rows] == 1
+            own = self.word(self.array[low[rows[one]]], offset)
+            # One candidate either goes on, or is smaller or larger.
+            low[rows[one]] += own < want[one]
+            high[rows[one]] -= own > want[one]
+            rows, want = rows[~one], want[~one]
+            if len(rows):
+                low[rows], high[rows] = self._bound(low[rows], high[rows], want, offset, False), self._bound(low[rows], high[rows], want, offset, True)
         return low, low < high
 
     def _bound(self, a: np.ndarray, b: np.ndarray, want: np.ndarray, offset: int, after: bool) -> np.ndarray:
@@ -278,28 +288,34 @@ class Family:
     def add(self, runs: list[bytes], docs=None, places=None) -> np.ndarray:
         """For each window of each run, in order, whether it came earlier; afterwards all of them are in the family. With ``docs`` and
         ``places``, where the runs begin, an equal window at the same place of the same document isn't earlier."""
-        sizes = np.array([len(r) for r in runs])
+        kinds = {r: None for r in runs}
+        for k, r in enumerate(kinds):
+            kinds[r] = k
+        kind = np.array([kinds[r] for r in runs])
+        first = np.unique(kind, return_index=True)[1]
+        docs, places = (np.arange(len(runs)), np.zeros(len(runs), dtype=np.int64)) if docs is None else (np.asarray(docs), np.asarray(places, dtype=np.int64))
+        # Equal runs have the same suffixes: the array is that of the different ones, in their order.
+        sizes = np.array([len(r) for r in kinds])
         begins, counts = np.cumsum(sizes) - sizes, sizes - self.length + 1
-        run = np.repeat(np.arange(len(runs)), counts)
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        before = np.cumsum(counts) - counts
+        run = np.repeat(np.arange(len(kinds)), counts)
+        inside = np.arange(counts.sum()) - before[run]
         starts = begins[run] + inside
-        data = np.frombuffer(b"".join([*runs, bytes(8 + self.length)]), dtype=np.uint8)
+        data = np.frombuffer(b"".join([*kinds, bytes(8 + self.length)]), dtype=np.uint8)
         rank = ranks(data, self.length)[starts]
         order = np.argsort(rank, kind="stable")
         new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
-        group = np.cumsum(new) - 1
-        repeat = ~new
-        if docs is not None:
-            place = np.asarray(places)[run] + inside
-            lead = order[new][group]
-            repeat &= (np.asarray(docs)[run][order] != np.asarray(docs)[run][lead]) | (place[order] != place[lead])
-        earlier = np.zeros(len(starts), dtype=bool)
-        earlier[order] = repeat
-        own = Level(data[: sizes.sum() + 8], starts[order][new], self.length)
-        known = np.zeros(len(own.array), dtype=bool)
+        group = np.empty(len(starts), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        lead = order[new]
+        own = Level(data[: sizes.sum() + 8], starts[lead], self.length)
+        known = np.zeros(len(lead), dtype=bool)
         for level in self.levels:
             known |= level.places(own)[1]
-        earlier[order] |= known[group]
+        each = counts[kind]
+        at = np.repeat(before[kind], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        to = lead[group[at]]
+        earlier = known[group[at]] | (np.repeat(docs, each) != docs[first][run[to]]) | (np.repeat(places, each) + inside[at] != places[first][run[to]] + inside[to])
         if not known.all():
             self.levels.append(Level(own.data, own.array[~known], self.length))
         while len(self.levels) > 1 and len(self.levels[-2].array) <= 2 * len(self.levels[-1].array):
