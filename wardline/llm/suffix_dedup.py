@@ -1,7 +1,7 @@
 """Exact substring dedup: each byte covered by a LENGTH-byte string that also starts earlier goes.
 
 A family of suffix arrays finds what starts earlier. Batches come to it in order of (document, start). A batch gets a suffix array
-(positions sorted by prefix doubling), which is merge-scanned against each existing level; a window of LENGTH bytes that is found
+(positions sorted by what follows), which is merge-scanned against each existing level; a window of LENGTH bytes that is found
 there, or earlier in the batch, is covered, and consecutive covered windows are a match of so many bytes more. What is new becomes
 a level, and levels of about equal size merge, so that there are logarithmically many.
 
@@ -33,7 +33,7 @@ LENGTH, K = 100, 24
 #: Runs of an anchor from which on it is routed by windows; such an anchor has HEAVY runs at least in some parts.
 HOT, HEAVY = 20_000, 8
 #: Bytes of text that a part holds, of runs that a partition's families should hold, and windows of a batch of a family.
-PART, FAMILY_BYTES, WINDOWS = 16 << 20, 4 << 20, 400_000
+PART, FAMILY_BYTES, WINDOWS = 16 << 20, 4 << 20, 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7919))
 BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 R = 0x9E3779B97F4A7C15 | 1
@@ -266,17 +266,30 @@ class Level:
         return Level(data, np.insert(self.array, at, other.array + len(self.data)), self.length)
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank of the ``length`` bytes at each position, by prefix doubling from eight bytes on. ``data`` ends with enough zeros."""
-    size = min(8, length)
-    found = Level(data, np.empty(0, dtype=np.int64), size).word(np.arange(len(data) - 7), 0)
-    rank = np.unique(found, return_inverse=True)[1]
-    while size < length:
-        step = min(size, length - size)
-        found = rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(found, return_inverse=True)[1]
-        size += step
-    return rank
+def arranged(level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of an unsorted level in order, by eight bytes and ties alone by the next eight, and which differ from the one before."""
+    order = np.argsort(level.first)
+    found = level.first[order]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    for offset in level.offsets[1:]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        own = level.word(level.array[order[at]], offset)
+        group = np.cumsum(new[at]) - 1
+        same = group[1:] == group[:-1]
+        mixed = np.zeros(group[-1] + 1, dtype=bool)
+        mixed[group[1:][same & (own[1:] != own[:-1])]] = True
+        rows = np.flatnonzero(mixed[group])
+        if len(rows):
+            place = np.empty(len(rows), dtype=np.int64)
+            place[np.argsort(own[rows])] = np.arange(len(rows))
+            by = rows[np.argsort(group[rows] << 32 | place)]
+            order[at[rows]], own[rows] = order[at[by]], own[by]
+        new[at] = np.concatenate(([True], ~same | (own[1:] != own[:-1])))
+    return order, new
 
 
 class Family:
@@ -302,12 +315,11 @@ class Family:
         inside = np.arange(counts.sum()) - before[run]
         starts = begins[run] + inside
         data = np.frombuffer(b"".join([*kinds, bytes(8 + self.length)]), dtype=np.uint8)
-        rank = ranks(data, self.length)[starts]
-        order = np.argsort(rank, kind="stable")
-        new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+        order, new = arranged(Level(data, starts, self.length))
         group = np.empty(len(starts), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
-        lead = order[new]
+        # The first of each kind of window as they came.
+        lead = np.minimum.reduceat(order, np.flatnonzero(new))
         own = Level(data[: sizes.sum() + 8], starts[lead], self.length)
         known = np.zeros(len(lead), dtype=bool)
         for level in self.levels:
