@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from wardline.functions import scalars as X
 from wardline.operators import alerts, audit, events, health, inventory, radar, rates, rules, snapshots, tree
-from wardline.plans import queries
+from wardline.plans import host, queries
 from wardline.sources import readers
 from wardline.streaming import stateful
 
@@ -27,6 +28,9 @@ def duck():
     return c
 
 
+assert host
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, duck, name):
     a, b = queries.QUERIES[name](spark, DATA).toPandas(), duck.execute(queries.SQL[name]).fetchdf()
@@ -92,7 +96,7 @@ def test_rule_sustain_and_hysteresis():
 
 
 def test_globs(spark):
-    for scope, name, want in (("", "x", True), ("C:\\", "c:\\", True), ("wi-fi,ethernet*", "Ethernet 2", True), ("svchost.exe", "chrome.exe", False), ("a*", "a/b", False), ("[ab]?", "b1", True)):
+    for scope, name, want in (("", "x", True), ("C:\\", "c:\\", True), ("wi-fi,ethernet*", "Ethernet 2", True), ("svchost.exe", "chrome.exe", False), ("a*", "a/b", False), ("[ab]?", "b1", True), (" ", "x", False), ("a,,b", "", False), ("a[", "a[", True), ("x*,", "y", False)):
         assert one(spark, X.in_scope(F.lit(name), scope)) == want, scope
 
 
@@ -119,20 +123,56 @@ def test_streamed_rules_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "metric string, instance string, ts timestamp, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = stateful.rule_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rule)
-    q = stream.writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream.writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     key = lambda d: sorted((r.instance, r.ts, r.event) for r in d.collect())
     assert key(spark.table("fired")) == key(rules.evaluate(df, rule)) != []
 
 
+def test_streamed_rules_keep_to_their_scope(spark, tmp_path):
+    rows, rule = firing_rows(spark)
+    rule = [rule[0] | {"scope": "p1"}, rule[0] | {"id": "off", "enabled": False}]
+    df = spark.createDataFrame([r for r in rows if r[1] != "p0"], "metric string, instance string, ts timestamp, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.rule_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rule)
+    q = stream.writeStream.format("memory").queryName("scoped").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("scoped").collect()
+    assert {(r.rule_id, r.instance) for r in got} == {("hot", "p1")} and len(got) == rules.evaluate(df, rule).count()
+
+
+def test_streamed_sweeps_equal_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows, t = [], 0.0
+    for _ in range(400):
+        t += 70.0 if rng.random() < 0.03 else rng.choice([0.1, 0.2, 0.3, 0.9])
+        rows.append((rng.choice("ab"), rng.randrange(40), at(round(t, 1))))
+    df = spark.createDataFrame(rows, "ip string, port int, ts timestamp")
+    half = len(rows) // 2
+    for k, part in enumerate((rows[:half], rows[half:], [("z", 1, at(t + 5000))])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = stateful.sweep_incidents(source).writeStream.format("memory").queryName("sweeps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.ip, r.first_seen, r.last_seen, r.attempts, r.ports, r.peak) for r in spark.table("sweeps").where("closed").collect()}
+    want = {(r.ip, r.first_seen, r.last_seen, r.attempts, r.ports, r.peak) for r in radar.incidents(df).collect()}
+    assert got == want and len(want) > 3
+
+
 def test_streamed_folding(spark, tmp_path):
     rows = [("a", at(0), "info"), ("a", at(30), "critical"), ("a", at(2000), "info"), ("b", at(5), "warning"), ("z", at(90_000), "info")]
     df = spark.createDataFrame(rows, "key string, time timestamp, severity string")
     for k, r in enumerate(rows):
         spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in/*"))
-    q = stateful.folded_alerts(source).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stateful.folded_alerts(source).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     got = sorted((r.key, r["count"], r["rank"]) for r in spark.table("folded").collect())
     assert got == [("a", 1, 2), ("a", 2, 0), ("b", 1, 1)]
 
@@ -154,13 +194,13 @@ def test_rates_and_scalars(spark):
     assert [one(spark, X.stop_code(F.lit(x))) for x in ("0x0000009f (…)", "159", "0x124", " 0x000000D1,", "", "0", "abc", "0x")] == [159, 159, 292, 209, None, None, None, None]
     assert one(spark, X.stop_name(F.lit(0x9F))) == "0x0000009F DRIVER_POWER_STATE_FAILURE"
     assert one(spark, X.truncated(F.lit("aéb"), 2)) == "a…"
-    for a, b, want in (("1.2", "1.10", -1), ("2.0", "2", 0), ("1.0b", "1.0a", 1), ("10", "9.9", 1)):
+    for a, b, want in (("1.2", "1.10", -1), ("2.0", "2", 0), ("1.0b", "1.0a", 1), ("10", "9.9", 1), ("v1.2", "1.2", 0), ("1.1e5", "1.100000", 1), ("1..2", "1.2", 0), ("1_2", "1.2", 1)):
         assert one(spark, X.compare_versions(F.lit(a), F.lit(b))) == want
     assert one(spark, X.csv_safe(F.lit("=1+1"))) == "'=1+1"
     assert one(spark, X.looks_outbound(F.lit(50000), F.lit(443))) and not one(spark, X.looks_outbound(F.lit(445), F.lit(50000)))
 
 
-def test_audits(spark):
+def test_audits(spark, tmp_path):
     def ev(k, i, t, **data):
         return ("Security", k, i, 2, "p", at(t), "", data)
 
@@ -168,11 +208,17 @@ def test_audits(spark):
     rows += [ev(100 + k, 4625, 9000 + 700 * k, TargetUserName=f"u{k}", IpAddress="10.0.0.7") for k in range(6)]
     rows += [ev(200, 4625, 5, TargetUserName="me"), ev(201, 4740, 6, TargetUserName="me"), ev(202, 4672, 7, SubjectUserName="ann"), ev(203, 4672, 8, SubjectUserName="bob"), ev(204, 4672, 9, SubjectUserName="SYSTEM"), ev(205, 4672, 9, SubjectUserName="PC$")]
     df = spark.createDataFrame(rows, "channel string, record_id long, event_id long, level int, provider string, time timestamp, message string, data map<string,string>")
-    got = [(r.id, r.kind, r.severity, r.subject, r["count"]) for r in audit.authentication(df).orderBy("id").collect()]
-    assert got[0] == ("AUT-001", "failed-logon", "critical", "bob from 10.0.0.9", 25)
+    findings = audit.authentication(df).orderBy("id").collect()
+    got = [(r.id, r.kind, r.severity, r.subject, r["count"]) for r in findings]
+    assert got[0] == ("AUT-001", "failed-logon", "critical", "bob", 25)
+    assert findings[0].details["sourceIp"] == "10.0.0.9" and findings[0].details["burst10m"] == "25" and len(findings[0].samples) == 5
+    assert findings[0].samples[0] == "2024-01-01 00:08:00Z — bob from 10.0.0.9 — no reason recorded"
+    audit.write_csv(audit.authentication(df), f"{tmp_path}/audit.csv")
+    text = open(f"{tmp_path}/audit.csv", "rb").read().decode()
+    assert text.startswith("\ufeffid,severity,kind") and "AUT-001,critical,failed-logon,bob,4625,25," in text
     kinds = [(k, s) for _, k, s, _, _ in got]
     assert ("password-spray", "critical") in kinds and ("account-lockout", "warning") in kinds
-    assert {(s, sub, n) for _, k, s, sub, n in got if k == "privileged-logon"} == {("warning", "bob", 1), ("info", "ann", 1), ("info", "built-in accounts", 2)}
+    assert {(s, sub, n) for _, k, s, sub, n in got if k == "privileged-logon"} == {("warning", "bob", 1), ("info", "ann", 1), ("info", "built-in service accounts", 2)}
 
     def rel(k, provider, i, t, **data):
         return ("System", k, i, 2, provider, at(t), "", data)
@@ -181,7 +227,7 @@ def test_audits(spark):
     rows += [rel(10 + k, "Application Error", 1000, k, AppName="A.exe", ModuleName="ntdll.dll") for k in range(2)] + [rel(12, "Application Error", 1000, 1, AppName="B.exe"), rel(13, "Application Hang", 1002, 1, AppName="C.exe")]
     rows += [rel(20, "Microsoft-Windows-Kernel-Power", 41, 5, BugcheckCode="159"), rel(21, "BugCheck", 1001, 9, param1="0x0000009f (x)"), rel(22, "Microsoft-Windows-Kernel-Power", 41, 1000, BugcheckCode="0"), rel(23, "EventLog", 6008, 1100)]
     got = {(r.kind, r.severity, r.subject, r["count"]) for r in audit.reliability(spark.createDataFrame(rows, df.schema)).collect()}
-    assert got == {("service-crash", "critical", "Spooler", 3), ("app-fault", "warning", "a.exe", 2), ("app-fault", "info", "b.exe", 1), ("app-hang", "info", "c.exe", 1), ("bugcheck", "critical", "0x0000009F DRIVER_POWER_STATE_FAILURE", 2), ("unexpected-shutdown", "warning", "unexpected shutdown", 1)}
+    assert got == {("service-crash", "critical", "Spooler", 3), ("app-fault", "warning", "A.exe", 2), ("app-fault", "info", "B.exe", 1), ("app-hang", "info", "C.exe", 1), ("bugcheck", "critical", "0x0000009F DRIVER_POWER_STATE_FAILURE", 2), ("unexpected-shutdown", "warning", "System", 1)}
 
 
 def test_event_xml_and_classes(spark):
@@ -209,14 +255,30 @@ def test_tree_and_health(spark):
     assert health.score(i).first().score == 100 - 15 - 20 - 8 - 3
 
 
-def test_alert_search_and_csv(spark):
+def test_alert_search_and_csv(spark, tmp_path):
     schema = "id long, key string, time timestamp, updated timestamp, severity string, category string, title struct<en:string,ar:string>, detail struct<en:string,ar:string>, source string, fields map<string,string>, count int, acked boolean"
     rows = [(1, "k", at(0), at(0), "critical", "network", ("Sweep", "مسح"), ("=x", ""), "radar", {"ip": "10.0.0.1", "a": "b"}, 1, False), (2, "k", at(1), at(1), "info", "system", ("Other", ""), ("d", ""), "s", {}, 1, True)]
     df = spark.createDataFrame(rows, schema)
     assert [r.id for r in alerts.search(df, "critical,warning", "10.0.0").collect()] == [1]
     assert [r.id for r in alerts.search(df, text="مسح").collect()] == [1] and alerts.search(df, unacked=True).count() == 1
     r = alerts.csv_rows(df).where("id = 1").first()
-    assert (r.detail_en, r.fields, r.time) == ("'=x", "a=b; ip=10.0.0.1", "2024-01-01T00:00:00Z")
+    assert (r.detail_en, r.fields, r.time_first) == ("'=x", "a=b; ip=10.0.0.1", "2024-01-01T00:00:00Z")
+    alerts.write_csv(df, f"{tmp_path}/a.csv")
+    lines = open(f"{tmp_path}/a.csv", encoding="utf-8").read().split("\n")
+    assert lines[0] == "\ufeff" + ",".join(alerts.CSV_HEADER) and lines[1].startswith("2,2024-01-01T00:00:01Z") and len(lines) == 4
+    made = json.loads(alerts.report(df, F.lit(at(5)), "pc").first().report)
+    assert made["counts"]["unacked"] == 1 and [a["id"] for a in made["alerts"]] == [2, 1] and made["host"] == "pc"
+    assert alerts.acknowledged(df, [1]).where("acked").count() == 2 and alerts.by_category(df).count() == 2
+    change = spark.createDataFrame([("k", ("back", ""), {"resolved": "yes"})], "key string, detail struct<en:string,ar:string>, fields map<string,string>")
+    got = {r.id: r.fields for r in alerts.updated(df, change).collect()}
+    assert got == {1: {"ip": "10.0.0.1", "a": "b"}, 2: {"resolved": "yes"}}
+
+
+def test_folding_keeps_what_alerts_bring(spark):
+    schema = "id long, key string, time timestamp, severity string, detail string, title string, fields map<string,string>, count int, acked boolean"
+    rows = [(1, "k", at(0), "info", "d1", "T", {"a": "1"}, 3, True), (2, "k", at(30), "critical", "d2", "", None, 0, True), (3, None, at(31), "info", "d3", "", None, None, True), (4, None, at(32), "info", "d4", "", None, 1, False), (5, "k", at(700), "info", "d5", "U", None, 1, True)]
+    got = sorted((r.key or "", r.time, r["count"], r.severity, r.detail, r.title, r.fields, r.acked) for r in alerts.fold(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("", at(31), 1, "info", "d3", None, None, True), ("", at(32), 1, "info", "d4", None, None, False), ("k", at(0), 4, "critical", "d2", "T", {"a": "1"}, False), ("k", at(700), 1, "info", "d5", "U", None, True)]
 
 
 def test_text_sources(spark, tmp_path):
@@ -233,6 +295,49 @@ def test_text_sources(spark, tmp_path):
     assert (j.level, j.provider, j.event_id, j.time) == (2, "sshd", 23456, T0)
 
 
+def test_table_sensor(spark):
+    rows = [("TCP", "ESTABLISHED", "10.0.0.5", 445, "10.0.0.9", 50001, 4, "System"), ("TCP", "ESTABLISHED", "10.0.0.5", 3389, "10.0.0.9", 50002, 900, "svchost.exe"), ("TCP", "SYN_RECEIVED", "10.0.0.5", 7777, "10.0.0.9", 50003, 1, "x"), ("TCP", "ESTABLISHED", "10.0.0.5", 51500, "1.2.3.4", 443, 777, "app.exe"), ("TCP", "ESTABLISHED", "10.0.0.5", 445, "10.0.0.9", 50004, 4, "CHROME.exe"), ("UDP", "-", "10.0.0.5", 445, "10.0.0.9", 1, 4, ""), ("TCP", "LISTEN", "0.0.0.0", 445, "", 0, 4, "")]
+    added = spark.createDataFrame(rows, "proto string, state string, local_addr string, local_port int, remote_addr string, remote_port int, pid long, process_name string")
+    heard = spark.createDataFrame([("TCP", 445, "0.0.0.0", 4), ("TCP", 3389, "", 900), ("TCP", 51500, "127.0.0.1", 777), ("TCP", 9, "*", 1)], "proto string, port int, addr string, pid long")
+    assert sorted(r.local_port for r in snapshots.table_observations(added, heard).collect()) == [445, 3389, 7777]
+
+
+def test_deep_and_cyclic_trees(spark):
+    rows = [(k, k - 1 if k else None, 1.0) for k in range(3000)] + [(10_000, 10_001, 1.0), (10_001, 10_000, 1.0), (10_002, 10_001, 1.0), (20_000, 77_777, 5.0)]
+    got = {r.id: (r.depth, r.subtree, r.descendants) for r in tree.rollup(spark.createDataFrame(rows, "id long, parent long, value double")).collect()}
+    assert got == {k: (k, 3000.0 - k, 2999 - k) for k in range(3000)} | {20_000: (0, 5.0, 0)}
+
+
+def test_more_scalars(spark):
+    good = ["1.2.3.4", "::", "::1", "fe80::1", "2001:db8::8a2e:370:7334", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1"]
+    bad = ["1.2.3", "256.1.1.1", "1:2:3", ":::", "1::2::3", "g::1", "1:2:3:4:5:6:7:8:9", "", "12345::"]
+    got = {r.ip: (r.v, r.k) for r in spark.createDataFrame([(x,) for x in good + bad], "ip string").select("ip", X.valid_ip(F.col("ip")).alias("v"), X.ip_key(F.col("ip")).alias("k")).collect()}
+    assert all(got[x][0] for x in good) and not any(got[x][0] for x in bad)
+    assert got["::ffff:10.0.0.1"][1] == "0" * 20 + "ffff0a000001" and got["fe80::1"][1] == "fe80" + "0" * 27 + "1"
+    assert one(spark, X.ignored_ip(F.lit("10.0.0.1"), ["10.0.0.1"])) and not one(spark, X.ignored_ip(F.lit("10.0.0.1")))
+    for q, text, want in (("", "x", 1.0), ("fire", "Firefox", 1200 - 0.07), ("fox", "Firefox", 1000 - 4 - 0.07), ("fx", "firefox", 4.0), ("zz", "firefox", 0.0), ("fir", "f.irx", 7.0)):
+        assert one(spark, X.fuzzy_score(q, F.lit(text))) == pytest.approx(want), (q, text)
+    assert one(spark, X.status_code(F.create_map(F.lit("SubStatus"), F.lit("0x0"), F.lit("Status"), F.lit("0xC000006A")))) == "0xc000006a"
+    assert one(spark, X.mac_text(F.lit("AABBCCDDEEFF"))) == "AA-BB-CC-DD-EE-FF"
+    assert one(spark, X.account(F.lit(""), F.lit("D"))) == "D\\(empty)" and one(spark, X.reverse_name(F.lit("1.2.3.4"))) == "4.3.2.1.in-addr.arpa"
+    assert one(spark, X.later_version(F.lit("Version 1.9"), F.lit("v1.10.2"))) and not one(spark, X.later_version(F.lit("2.0"), F.lit("2.0.0")))
+    assert one(spark, rules.plain_value(F.lit(85.0), F.lit("%"))) == "85%" and one(spark, rules.plain_value(F.lit(1.25), F.lit("MB"))) == "1.3 MB"
+    assert events.xpath([41, 6008], window_ms=5) == "*[System[(EventID=41 or EventID=6008) and TimeCreated[timediff(@SystemTime) <= 5]]]"
+    for size, want in ((1, "…"), (2, "…"), (3, "€…"), (4, "€…"), (6, "€€")):
+        assert one(spark, X.truncated(F.lit("€€"), size)) == want
+
+
+def test_rules_are_saved_whole(tmp_path):
+    path = tmp_path / "rules.json"
+    rules.save([RULE], str(path))
+    assert rules.load(path.read_text()) == [rules.validated(RULE)] and [p.name for p in tmp_path.iterdir()] == ["rules.json"]
+
+
+def test_self_test_is_seen(spark):
+    found = radar.incidents(radar.self_test(spark, 5, start=F.lit(T0)))
+    assert [(r.ip, r.ports) for r in found.collect()] == [("198.51.100.77", 24)]
+
+
 def test_devices_expire_and_keep_when_their_mac_changed(spark):
     at = lambda minute: datetime(2024, 1, 1, 0, minute)
     rows = [(1, "a", "m1", at(0)), (2, "a", "m2", at(20)), (3, "a", "m2", at(50)), (4, "b", "m3", at(1)), (5, "c", None, at(40)), (6, "c", None, at(45))]

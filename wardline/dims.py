@@ -126,6 +126,9 @@ EXCEPTION_CODES = {
     "c06d007e": "a required DLL could not be loaded",
     "40000015": "fatal application exit",
 }
+SYSTEM_MODULES = ["ntdll.dll", "kernelbase.dll", "kernel32.dll", "ucrtbase.dll", "msvcrt.dll", "combase.dll", "user32.dll", "clr.dll", "coreclr.dll", "vcruntime140.dll"]
+INTERFACE_KINDS = {6: "ethernet", 71: "wifi", 24: "loopback", 131: "tunnel", 243: "cellular", 244: "cellular", 23: "virtual", 53: "virtual"}
+TCP_STATES = {1: "CLOSED", 2: "LISTEN", 3: "SYN_SENT", 4: "SYN_RECEIVED", 5: "ESTABLISHED", 6: "FIN_WAIT1", 7: "FIN_WAIT2", 8: "CLOSE_WAIT", 9: "CLOSING", 10: "LAST_ACK", 11: "TIME_WAIT", 12: "DELETE_TCB"}
 BUILTIN_USERS = ["SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON", "LOCAL SYSTEM"]
 BUILTIN_DOMAINS = ["NT AUTHORITY", "NT SERVICE", "FONT DRIVER HOST", "WINDOW MANAGER"]
 EPHEMERAL_START = 32768

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import dims
-from wardline.functions.scalars import micros
+from wardline.functions.scalars import micros, truncated
 
 
 def category(provider: Column, event_id: Column, level: Column) -> Column:
@@ -49,3 +49,53 @@ def timeline(events: DataFrame, start: Column, end: Column, bins: int = 56) -> D
 
 def alert_severity(level: Column, kind: Column) -> Column:
     return F.when(level == 1, "critical").when(level == 2, F.when(kind != "other", "warning").otherwise("info")).when((level == 3) & (kind != "other"), "info")
+
+
+def top_sources(events: DataFrame, n: int = 10) -> DataFrame:
+    """The providers with most events of levels 1 to 3."""
+    return events.where("level between 1 and 3").groupBy(F.col("provider").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(n)
+
+
+def after(events: DataFrame, channel: str, since: Column | None = None, most: int = 2000, max_level: int = 0, after_record: int = 0) -> DataFrame:
+    """A channel's newest events: after a record, since a time, up to a level (0: all). Offsets of a stream take the cursor's place."""
+    out = events.where((F.col("channel") == channel) & (F.col("record_id") > after_record))
+    if since is not None:
+        out = out.where(F.col("time") >= since)
+    if max_level:
+        out = out.where(F.col("level").between(1, max_level))
+    return out.orderBy(F.desc("time"), F.desc("record_id")).limit(most)
+
+
+def cursors(events: DataFrame) -> DataFrame:
+    """The last record of each channel."""
+    return events.groupBy("channel").agg(F.max("record_id").alias("after_record"))
+
+
+def retained(events: DataFrame, each: int) -> DataFrame:
+    """The newest ``each`` events of every channel."""
+    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("time"), F.desc("record_id")))
+    return events.withColumn("_k", place).where(F.col("_k") <= each).drop("_k")
+
+
+def latest_bad(events: DataFrame, n: int = 25) -> DataFrame:
+    return events.where("level <= 2").orderBy(F.desc("time"), F.desc("record_id")).limit(n)
+
+
+def baseline(events: DataFrame) -> DataFrame:
+    """What a first load holds: it raises no alerts, only counts."""
+    return events.agg(F.count_if(F.col("level") == 1).alias("critical"), F.count_if(F.col("level") == 2).alias("errors"))
+
+
+def fresh(events: DataFrame, first_load: Column) -> DataFrame:
+    """Alerts of events after the first load: severity, category and key; the rest raises none."""
+    own = events.where(F.col("time") > first_load).withColumn("severity", alert_severity(F.col("level"), F.col("category"))).where("severity is not null")
+    return own.select("record_id", "time", "severity", F.when(F.col("category") == "other", "system").otherwise("reliability").alias("alert_category"), F.concat_ws(":", F.lit("ev"), F.lower("provider"), F.col("event_id").cast("string")).alias("key"), truncated(F.coalesce("message", F.lit("")), 400).alias("detail"))
+
+
+def xpath(ids: list[int] | None = None, levels: list[int] | None = None, window_ms: int = 0, after_record: int = 0) -> str:
+    """The query text for a log that is read by XPath: ids, levels, age and record as conditions of the System element."""
+    either = lambda name, values: "(" + " or ".join(f"{name}={v}" for v in values) + ")"
+    own = [either(n, v) for n, v in (("EventID", ids), ("Level", levels)) if v]
+    own += [f"TimeCreated[timediff(@SystemTime) <= {window_ms}]"] if window_ms > 0 else []
+    own += [f"(EventRecordID > {after_record})"] if after_record else []
+    return f"*[System[{' and '.join(own)}]]" if own else "*"

@@ -38,13 +38,24 @@ def growth(rows: DataFrame, entity: str, ts: str, value: str, n: int = 60, least
     return g.where((F.col("samples") >= least) & (F.col("e") > F.col("s"))).select(entity, "samples", ((F.col("b") - F.col("a")) / (F.col("e") - F.col("s")) * 60e6).alias("per_minute"))
 
 
-def new_per_second(polls: DataFrame, ts: str, added: str, seconds: int = 10) -> DataFrame:
-    """New rows a second over the polls of the last ``seconds``, those of the first poll left out. Polls of one host; give a host column's partition by filtering."""
-    w = Window.partitionBy(F.lit(0)).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+def new_per_second(polls: DataFrame, ts: str, added: str, seconds: int = 10, host: str = "host") -> DataFrame:
+    """New rows a second over each host's polls of the last ``seconds``, those of the first poll left out."""
+    w = Window.partitionBy(host).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
     span = (micros(ts) - F.min(micros(ts)).over(w)) / 1e6
     return polls.withColumn("per_second", F.when(span > 0, (F.sum(added).over(w) - F.first(added).over(w)) / span).otherwise(0.0))
 
 
+def sustained(rows: DataFrame, entity: str, ts: str, value: str, n: int = 60, floor: float = 0.05, hot: float = 25.0, top: int = 10) -> DataFrame:
+    """The entities with the highest mean of their last ``n`` samples, of at least ``floor``, and whether they are hot."""
+    mean = last_n(rows, entity, ts, n).groupBy(entity).agg(F.avg(value).alias("mean"))
+    return mean.where(F.col("mean") >= floor).withColumn("hot", F.col("mean") >= hot).orderBy(F.desc("mean"), entity).limit(top)
+
+
+def growing(rows: DataFrame, entity: str, ts: str, value: str, n: int = 60, floor: float = 1 << 20, hot: float = 64 << 20, top: int = 10) -> DataFrame:
+    """The entities that grow fastest a minute, by more than ``floor``, and whether they are hot."""
+    return growth(rows, entity, ts, value, n).where(F.col("per_minute") > floor).withColumn("hot", F.col("per_minute") > hot).orderBy(F.desc("per_minute"), entity).limit(top)
+
+
 def max_burst(rows: DataFrame, group: list[str], ts: str, seconds: int) -> DataFrame:
     """The most rows of a group within ``seconds``, both ends included."""
     w = Window.partitionBy(*group).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)

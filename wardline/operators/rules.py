@@ -1,15 +1,17 @@
-"""Threshold rules with sustain and hysteresis: one state machine for batch and streaming."""
+"""Threshold rules with sustain and hysteresis: by windows in batch, by the same state machine step by step in streaming."""
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import dims
-from wardline.functions.scalars import glob_regex
+from wardline.functions.scalars import cleared, glob_regex, micros, violates
 
 OUT = "rule_id string, instance string, ts timestamp, value double, event string"
 
@@ -53,25 +55,79 @@ def step(state: tuple, ts: float, value: float | None, rule: dict) -> tuple[tupl
     return (None, firing and not over), "resolved" if firing and over else None
 
 
-def evaluate(observations: DataFrame, rules: list[dict]) -> DataFrame:
-    """Firings and resolutions of (metric, instance, ts, value). Absence is seen at the metric's other ticks. A (rule, instance) is a group of its own."""
-    spark = observations.sparkSession
+def save(rules: list[dict], path: str) -> None:
+    """The rules as a JSON array, put in place by a rename so that no reader meets half a file."""
+    folder = Path(path).parent
+    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
+        json.dump(rules, f, ensure_ascii=False, indent=1)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f.name, path)
+
+
+def matched(observations: DataFrame, rules: list[dict]) -> DataFrame:
+    """Observations (metric, instance, ts, value) with the fields of each enabled and valid rule whose metric and scope they fit."""
     own = [v for r in rules if r.get("enabled", True) and (v := validated(r))]
-    if not own:
-        return spark.createDataFrame([], OUT)
-    table = F.broadcast(spark.createDataFrame([(r["id"], r["metric"], r["op"], float(r["threshold"]), int(r["for_sec"]), float(r["hysteresis"]), glob_regex(r["scope"])) for r in own], "rule_id string, metric string, op string, threshold double, for_sec int, hysteresis double, pattern string"))
-    seen = observations.join(table, "metric").where(F.rlike(F.translate(F.lower("instance"), "\\", "/"), F.col("pattern")))
+    rows = [(r["id"], r["metric"], r["op"], float(r["threshold"]), int(r["for_sec"]), float(r["hysteresis"]), glob_regex(r["scope"])) for r in own]
+    table = F.broadcast(observations.sparkSession.createDataFrame(rows, "rule_id string, metric string, op string, threshold double, for_sec int, hysteresis double, pattern string"))
+    return observations.join(table, "metric").where(F.rlike(F.translate(F.lower("instance"), "\\", "/"), F.col("pattern"))).drop("pattern")
+
+
+def _states(observations: DataFrame, rules: list[dict]) -> DataFrame:
+    """Each matched observation with its place among the metric's ticks, since when its condition has held, and whether the rule fires after it."""
     ticks = observations.select("metric", "ts").distinct()
-    pairs = seen.select("rule_id", "metric", "op", "threshold", "for_sec", "hysteresis", "instance").distinct()
-    spine = pairs.join(ticks, "metric").join(seen.select("rule_id", "instance", "ts", "value"), ["rule_id", "instance", "ts"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        rule, state, out = pdf.iloc[0].to_dict(), (None, False), []
-        for ts, value in zip(pdf["ts"], pdf["value"], strict=True):
-            state, event = step(state, ts.timestamp(), None if pd.isna(value) else value, rule)
-            if event:
-                out.append((rule["rule_id"], rule["instance"], ts, value, event))
-        return pd.DataFrame(out, columns=["rule_id", "instance", "ts", "value", "event"])
-
-    return spine.groupBy("rule_id", "instance").applyInPandas(run, OUT)
+    by = Window.partitionBy("metric").orderBy("ts")
+    # Ticks are few beside observations: one for each metric and sample time.
+    ticks = ticks.withColumn("tick", F.row_number().over(by)).withColumn("next_ts", F.lead("ts").over(by))
+    rows = matched(observations, rules).join(ticks, ["metric", "ts"])
+    own = Window.partitionBy("rule_id", "instance").orderBy("tick")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    held = violates(F.col("value"), F.col("op"), F.col("threshold"))
+    rows = rows.withColumn("held", held).withColumn("gone", F.coalesce(F.col("tick") - F.lag("tick").over(own) > 1, F.lit(False)))
+    # A stretch ends where the instance was absent at a tick; there all state is dropped.
+    rows = rows.withColumn("stretch", F.sum(F.col("gone").cast("int")).over(upto))
+    inside = Window.partitionBy("rule_id", "instance", "stretch").orderBy("tick")
+    broken = F.max(F.when(~F.col("held"), F.col("tick"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("run", F.coalesce(broken, F.lit(0)))
+    since = F.min(F.when(F.col("held"), micros("ts"))).over(Window.partitionBy("rule_id", "instance", "stretch", "run"))
+    rows = rows.withColumn("since", F.when(F.col("held"), since))
+    mark = F.when(F.col("held") & (micros("ts") - F.col("since") >= F.col("for_sec").cast("long") * 1_000_000), True).when(~F.col("held") & cleared(F.col("value"), F.col("op"), F.col("threshold"), F.col("hysteresis")), False)
+    rows = rows.withColumn("mark", mark)
+    last = F.last("mark", ignorenulls=True)
+    return rows.withColumns({"was": F.coalesce(last.over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)), "firing": F.coalesce(last.over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)), "next_tick": F.lead("tick").over(own)})
+
+
+def evaluate(observations: DataFrame, rules: list[dict]) -> DataFrame:
+    """Firings and resolutions of (metric, instance, ts, value). An instance that is absent at the metric's next tick resolves there,
+    without a value. All by windows over an instance's own observations."""
+    rows = _states(observations, rules)
+    turned = rows.where("firing != was").select("rule_id", "instance", "ts", "value", F.when(F.col("firing"), "fired").otherwise("resolved").alias("event"))
+    left = rows.where("firing and next_ts is not null and (next_tick is null or next_tick > tick + 1)").select("rule_id", "instance", F.col("next_ts").alias("ts"), F.lit(None).cast("double").alias("value"), F.lit("resolved").alias("event"))
+    return turned.unionByName(left)
+
+
+def runtime(observations: DataFrame, rules: list[dict], now: Column) -> DataFrame:
+    """For each rule: instances firing and pending at the last tick, the worst value there, how often it fired, and its ten most relevant
+    instances, firing ones first and higher values first, as sorted text. ``now`` is the metric's last tick."""
+    rows = _states(observations, rules)
+    fired = rows.where("firing and not was").groupBy("rule_id").agg(F.count("*").alias("fired"))
+    here = rows.where(F.col("ts") == now)
+    worst = F.when(F.first("op").isin(">", ">="), F.max("value")).otherwise(F.min("value"))
+    counts = here.groupBy("rule_id").agg(F.count_if("firing").alias("firing"), F.count_if(~F.col("firing") & F.col("since").isNotNull()).alias("pending"), worst.alias("worst"))
+    place = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("firing"), F.desc("value"), "instance"))
+    best = here.where("firing or since is not null").withColumn("place", place).where("place <= 10")
+    named = F.transform(F.sort_array(F.collect_list(F.struct("place", "instance"))), lambda x: x["instance"])
+    best = best.groupBy("rule_id").agg(F.array_join(named, ",").alias("instances"))
+    return counts.join(fired, "rule_id", "left").join(best, "rule_id", "left").na.fill(0, ["fired"]).na.fill("", ["instances"])
+
+
+def firing_rules(states: DataFrame, rules: DataFrame) -> DataFrame:
+    """The firing instances of rule states (id, instances array<struct<instance, firing>>) with their rule's fields."""
+    one = states.select("id", F.explode("instances").alias("i")).where("i.firing")
+    return one.select("id", F.col("i.instance").alias("instance")).join(rules, "id", "left")
+
+
+def plain_value(value: Column, unit: Column) -> Column:
+    """A value with one digit behind the point, none for .0, and its unit."""
+    text = F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
+    return F.when(unit == "%", F.concat(text, F.lit("%"))).when(unit.isin("count", "state", "score"), text).otherwise(F.concat_ws(" ", text, unit))

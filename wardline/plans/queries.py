@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline import dims
 from wardline.functions import scalars as X
-from wardline.operators import alerts, events, health, inventory, radar, rates, rules, snapshots, tree
+from wardline.operators import alerts, audit, events, health, inventory, radar, rates, snapshots, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,8 +66,7 @@ def sweep_incidents(spark, sf_dir):
 r AS (SELECT ip, min(port) AS a, max(port) AS b, row_number() OVER (PARTITION BY ip ORDER BY min(port)) AS k FROM g GROUP BY ip, island)
 SELECT ip, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) FILTER (WHERE k <= 12) || CASE WHEN max(k) > 12 THEN ' (+' || (max(k) - 12) || ' more)' ELSE '' END AS text FROM r GROUP BY ip""")
 def port_ranges(spark, sf_dir):
-    o = observations(spark, sf_dir).groupBy("ip").agg(F.sort_array(F.collect_set("port")).alias("p"))
-    return o.select("ip", radar.port_text(F.col("p")).alias("text"))
+    return radar.port_ranges(observations(spark, sf_dir))
 
 
 @query("SELECT user_id, event_type, max(k) AS burst, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS k FROM events) GROUP BY user_id, event_type")
@@ -130,21 +129,13 @@ def as_alerts(spark, sf_dir):
 @query("""WITH s AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1 AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS far FROM events))
 SELECT CAST(user_id AS VARCHAR) AS key, CAST(session AS BIGINT) AS session, min(ts) AS time, max(ts) AS updated, count(*) AS count, CASE min(CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END) WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, arg_max(props, ts) AS detail FROM s GROUP BY user_id, session""")
 def alert_fold(spark, sf_dir):
-    return alerts.fold(as_alerts(spark, sf_dir), 12 * 3600).withColumn("session", F.col("session").cast("long"))
+    found = alerts.fold(as_alerts(spark, sf_dir), 12 * 3600)
+    return found.select("key", F.col("session").cast("long").alias("session"), "time", "updated", "count", "severity", "detail")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS critical, count(*) FILTER (WHERE event_type = 'purchase') AS warning, count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) AS info, count(*) FILTER (WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) AS last24h FROM events")
 def alert_counts(spark, sf_dir):
-    own = as_alerts(spark, sf_dir)
-    return alerts.counts(own, F.lit(own.agg(F.max("updated")).first()[0]))
-
-
-@query()
-def rule_firings(spark, sf_dir):
-    """A rule with sustain and hysteresis on the values of each user; a state machine, compared with a model in the tests."""
-    o = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.lit("proc_cpu").alias("metric"), F.col("user_id").cast("string").alias("instance"), F.date_trunc("day", "ts").alias("ts"), F.least(F.col("value"), F.lit(100.0)).alias("value"))
-    o = o.groupBy("metric", "instance", "ts").agg(F.max("value").alias("value"))
-    return rules.evaluate(o, [{"id": "hot", "metric": "proc_cpu", "op": ">", "threshold": 60.0, "for_sec": 0, "hysteresis": 20.0, "scope": "1*,2?"}])
+    return alerts.counts(as_alerts(spark, sf_dir)).drop("unacked")
 
 
 CUM = "c AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts), 2) AS total FROM events)"
@@ -191,12 +182,13 @@ def state_transitions(spark, sf_dir):
     return snapshots.transitions(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus").select("o_orderkey", "o_custkey", "from_state", F.col("o_orderstatus").alias("to_state"))
 
 
-@query(f"""WITH {OBS}, x AS (SELECT id, event_type AS proto, port AS local_port, CAST(ip % 7 AS VARCHAR) AS local_addr, ip % 9 AS pid FROM o), l AS (SELECT DISTINCT event_type AS proto, port, CASE WHEN ip % 3 = 0 THEN '0.0.0.0' ELSE CAST(ip % 7 AS VARCHAR) END AS addr, ip % 9 AS pid FROM o WHERE ip < 12)
-SELECT id FROM x WHERE EXISTS (SELECT 1 FROM l WHERE l.proto = x.proto AND l.port = x.local_port AND (l.addr = '0.0.0.0' OR l.addr = x.local_addr) AND (l.pid = x.pid OR l.pid IN (0, 4) OR x.pid IN (0, 4)))""")
+@query(f"""WITH {OBS}, x AS (SELECT id, event_type AS proto, port AS local_port, CAST(ip % 7 AS VARCHAR) AS local_addr, ip % 9 AS pid FROM o), l AS (SELECT DISTINCT event_type AS proto, port, CASE ip % 30 WHEN 0 THEN '' WHEN 3 THEN '0.0.0.0' WHEN 6 THEN '*' ELSE CAST(ip % 7 AS VARCHAR) END AS addr, ip % 9 AS pid FROM o WHERE event_type = 'error')
+SELECT id FROM x WHERE EXISTS (SELECT 1 FROM l WHERE l.proto = x.proto AND l.port = x.local_port AND (l.addr IN ('', '0.0.0.0') OR l.addr = x.local_addr) AND (l.pid = x.pid OR l.pid IN (0, 4) OR x.pid IN (0, 4)))""")
 def accepted_theta(spark, sf_dir):
     o = observations(spark, sf_dir)
     x = o.select("id", F.col("event_type").alias("proto"), F.col("port").alias("local_port"), (F.col("ip") % 7).cast("string").alias("local_addr"), (F.col("ip") % 9).alias("pid"))
-    listening = o.where("ip < 12").select(F.col("event_type").alias("proto"), "port", F.when(F.col("ip") % 3 == 0, "0.0.0.0").otherwise((F.col("ip") % 7).cast("string")).alias("addr"), (F.col("ip") % 9).alias("pid")).distinct()
+    addr = F.when(F.col("ip") % 30 == 0, "").when(F.col("ip") % 30 == 3, "0.0.0.0").when(F.col("ip") % 30 == 6, "*").otherwise((F.col("ip") % 7).cast("string"))
+    listening = o.where("event_type = 'error'").select(F.col("event_type").alias("proto"), "port", addr.alias("addr"), (F.col("ip") % 9).alias("pid")).distinct()
     return snapshots.accepted(x, listening).select("id")
 
 
@@ -238,12 +230,13 @@ def tree_rollup(spark, sf_dir):
     return tree.rollup(nodes).withColumn("subtree", F.round("subtree").cast("long"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS app_id, regexp_replace(lower(p_name), '[ \\-_.(),]', '', 'g') AS a, p_size AS version FROM part), u AS (SELECT p_name AS upgrade_name, regexp_replace(lower(p_name), '[ \\-_.(),]', '', 'g') AS u, max(p_size) AS current FROM part WHERE p_partkey % 10 = 0 GROUP BY 1, 2)
-SELECT upgrade_name, app_id FROM (SELECT *, row_number() OVER (PARTITION BY upgrade_name ORDER BY (version = current) DESC, app_id) AS r FROM u JOIN a ON a.a = u.u OR (length(u.u) >= 8 AND starts_with(a.a, u.u))) WHERE r = 1""")
+@query("""WITH a AS (SELECT p_partkey AS app_id, regexp_replace(lower(p_name), '[ \\-_.(),]', '', 'g') AS a, p_size AS version FROM part), u AS (SELECT p_name AS upgrade_name, regexp_replace(lower(p_name), '[ \\-_.(),]', '', 'g') AS u, max(p_size) AS current FROM part GROUP BY 1, 2 UNION ALL SELECT '()', '', 1)
+SELECT upgrade_name, app_id FROM (SELECT *, row_number() OVER (PARTITION BY upgrade_name ORDER BY (version = current) DESC, CASE WHEN version = current THEN -app_id ELSE app_id END) AS r FROM u JOIN a ON u.u <> '' AND (a.a = u.u OR (length(u.u) >= 8 AND starts_with(a.a, u.u)))) WHERE r = 1""")
 def name_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     apps = p.select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"), F.col("p_size").alias("version"))
-    available = p.where("p_partkey % 10 = 0").groupBy(F.col("p_name").alias("upgrade_name")).agg(F.max("p_size").alias("current"))
+    available = p.groupBy(F.col("p_name").alias("upgrade_name")).agg(F.max("p_size").alias("current"))
+    available = available.union(spark.range(1).select(F.lit("()"), F.lit(1)))
     return inventory.upgrades(apps, available).select("upgrade_name", "app_id")
 
 
@@ -270,12 +263,10 @@ def health_score(spark, sf_dir):
 @query("""WITH g AS (SELECT event_type AS kind, user_id AS subject, count(*) AS count, min(ts) AS first, max(ts) AS last, CASE WHEN count(*) >= 20 THEN 'critical' WHEN count(*) >= 12 THEN 'warning' ELSE 'info' END AS severity FROM events GROUP BY 1, 2)
 SELECT kind, subject, count, severity, first, last, 'EVT-' || lpad(CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, count DESC, last DESC, subject, kind) AS VARCHAR), 6, '0') AS id FROM g""")
 def severity_report(spark, sf_dir):
-    from pyspark.sql import Window
-
     g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), F.col("user_id").alias("subject")).agg(F.count("*").alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     g = g.withColumn("severity", F.when(F.col("count") >= 20, "critical").when(F.col("count") >= 12, "warning").otherwise("info"))
-    order = Window.orderBy(X.severity_rank(F.col("severity")), F.desc("count"), F.desc("last"), "subject", "kind")
-    return g.withColumn("id", F.concat(F.lit("EVT-"), F.lpad(F.row_number().over(order).cast("string"), 6, "0"))).select("kind", "subject", "count", "severity", "first", "last", "id")
+    order = [X.severity_rank(F.col("severity")), F.desc("count"), F.desc("last"), "subject", "kind"]
+    return audit.numbered(g, order, "id", "EVT-", 6).select("kind", "subject", "count", "severity", "first", "last", "id")
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\r\n\t ]+', ' ', 'g'), '^ | $', '', 'g')) AS clean, md5(regexp_replace(lower(source), '[ \-_.(),]', '', 'g')) AS norm FROM documents")
