@@ -123,8 +123,8 @@ def test_streamed_rules_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "metric string, instance string, ts timestamp, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = stateful.rule_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rule)
-    q = stream.writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stream.writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
     q.stop()
     key = lambda d: sorted((r.instance, r.ts, r.event) for r in d.collect())
     assert key(spark.table("fired")) == key(rules.evaluate(df, rule)) != []
@@ -136,8 +136,8 @@ def test_streamed_rules_keep_to_their_scope(spark, tmp_path):
     df = spark.createDataFrame([r for r in rows if r[1] != "p0"], "metric string, instance string, ts timestamp, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = stateful.rule_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rule)
-    q = stream.writeStream.format("memory").queryName("scoped").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stream.writeStream.format("memory").queryName("scoped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
     q.stop()
     got = spark.table("scoped").collect()
     assert {(r.rule_id, r.instance) for r in got} == {("hot", "p1")} and len(got) == rules.evaluate(df, rule).count()
@@ -156,8 +156,8 @@ def test_streamed_sweeps_equal_batch(spark, tmp_path):
     for k, part in enumerate((rows[:half], rows[half:], [("z", 1, at(t + 5000))])):
         spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = stateful.sweep_incidents(source).writeStream.format("memory").queryName("sweeps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stateful.sweep_incidents(source).writeStream.format("memory").queryName("sweeps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
     q.stop()
     got = {(r.ip, r.first_seen, r.last_seen, r.attempts, r.ports, r.peak) for r in spark.table("sweeps").where("closed").collect()}
     want = {(r.ip, r.first_seen, r.last_seen, r.attempts, r.ports, r.peak) for r in radar.incidents(df).collect()}
@@ -170,8 +170,8 @@ def test_streamed_folding(spark, tmp_path):
     for k, r in enumerate(rows):
         spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in/*"))
-    q = stateful.folded_alerts(source).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stateful.folded_alerts(source).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
     q.stop()
     got = sorted((r.key, r["count"], r["rank"]) for r in spark.table("folded").collect())
     assert got == [("a", 1, 2), ("a", 2, 0), ("b", 1, 1)]
