@@ -118,8 +118,11 @@ def test_near_dup(spark, docs, edge, small):
             assert r.kept == (r.component_id == r.doc_id)
 
 
-def test_chains_join(spark):
-    """Each text is near the next one only, so that no pivot is near all of its component."""
+@pytest.mark.parametrize(("few", "block"), [(near_dup.FEW, near_dup.BLOCK), (1, 4)])
+def test_chains_join(spark, monkeypatch, few, block):
+    """Each text is near the next one only, so that no pivot is near all of its component; with any size of blocks."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
     rows = [(k, " ".join(words[8 * k : 8 * k + 120])) for k in range(90)]
@@ -130,6 +133,22 @@ def test_chains_join(spark):
     assert len({c for _, c in want.values()}) < 90
 
 
+def test_pairs_of_blocks():
+    """Blocks give out each pair of two components that is at the threshold, once, and no pair of one component."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    base = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.union1d(base[: 300 - 9 * k], rng.integers(0, 1 << 64, 6 * k, dtype=np.uint64)) for k in range(24)]
+    own = {"rep": np.arange(24), "n": np.array([len(x) for x in sets]), "component": np.arange(24) // 2, "rank": np.ones(24, dtype=np.int64), "registers": np.stack([near_dup.registers(x) for x in sets])}
+    near = {(i, j) for j in range(24) for i in range(j) if i // 2 != j // 2 and near_dup.linked(sets[i].tobytes(), sets[j].tobytes(), 80)}
+    got = lambda x, y: [(min(p), max(p)) for a, b in near_dup.block_pairs(x, y, 80) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    part = lambda rows: {c: v[rows] for c, v in own.items()}
+    whole = got(own, None)
+    even, odd = part(slice(0, 24, 2)), part(slice(1, 24, 2))
+    dealt = got(even, None) + got(odd, None) + got(even, odd)
+    assert near and near <= set(whole) and len(set(whole)) == len(whole) and sorted(dealt) == sorted(whole)
+    assert all(i // 2 != j // 2 for i, j in whole) and len(whole) < 24 * 23 // 2
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.Generator(np.random.PCG64(1))
     for j in (0.5, 0.8, 0.95):

@@ -13,8 +13,12 @@ original, which may be far from one another, that is the original. Verified link
 component is done.
 What is left for the last round are the members of buckets of several components. Texts around one passage are many and alike
 but below the threshold, so their pairs are not all taken: a pair at the threshold has a shingle in common among the rarest
-fifth (and one) of either set, and just the pairs that have are taken. None at the threshold is lost by that. Components are found by large-star/small-star contraction on tables in the shared
-folder; nothing of the documents reaches the driver but counts.
+fifth (and one) of either set, and just the pairs that have are taken. None at the threshold is lost by that. A shingle of at
+most FEW members joins them; one of more deals them into blocks of about BLOCK, and each pair of blocks is a group of its own that
+gives out only the pairs that sizes, positions and registers allow. Components are found by large-star/small-star contraction on
+tables in the shared folder; nothing of the documents reaches the driver but counts. What is joined with a table that has one row
+a bucket, shingle or node meets it as a written table: a small one is broadcast by its size, beside a larger one AQE splits a hot
+key's partition.
 
 Cases: a null, empty or blank text has no set, forms its own component and stays. Fewer words than a shingle's make one
 shingle. Rows that repeat a doc_id are one document in links; each row is returned. Null doc_ids link with nothing. Extra
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PRIVATE, batch_of, column, pieces, raw_text, tidied, within, written
+from .common import PRIVATE, batch_of, column, discarded, pieces, raw_text, small_batches, tidied, within, written
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -37,6 +41,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 16.0
 PIVOT_ROUNDS = 2
+#: Members of a shingle up to which they are joined, and about how many a block of a larger group has.
+FEW, BLOCK = 64, 1024
 _rng = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLY = _rng.integers(1 << 62, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
 COMBINE = _rng.integers(1 << 62, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -205,17 +211,50 @@ def _exploded(words: int):
     return run
 
 
+def block_pairs(x: dict, y: dict | None, percent: int):
+    """(a, b) of the rows of ``x`` and ``y``, or of ``x`` alone, that may reach the threshold by components, sizes, places of their common
+    shingle and registers. x and y: arrays rep, n, component, rank and registers."""
+    z = x if y is None else y
+    for k in range(len(x["rep"])):
+        n, m = x["n"][k], z["n"]
+        fit = (z["component"] != x["component"][k]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        fit &= (100 + percent) * (1 + np.minimum(n - x["rank"][k], m - z["rank"])) >= percent * (n + m)
+        if y is None:
+            fit[: k + 1] = False
+        at = np.flatnonzero(fit)
+        if len(at):
+            own = np.broadcast_to(x["registers"][k], (len(at), REGISTERS))
+            at = at[possible(own, z["registers"][at], np.full(len(at), n), m[at], percent)]
+            yield np.full(len(at), x["rep"][k]), z["rep"][at]
+
+
+def _blocks(percent: int):
+    def run(table):
+        import pyarrow as pa
+
+        own = {c: table.column(c).to_numpy() for c in ("rep", "n", "component", "rank", "block")}
+        own["registers"] = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x, y = ({c: v[own["block"] == block] for c, v in own.items()} for block in (i, j))
+        found = list(block_pairs(x, None if i == j else y, percent))
+        a, b = (np.concatenate([p[side] for p in found]) if found else np.empty(0, dtype=np.int64) for side in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """(rep, component): the smallest id of each node's component, by large-star/small-star contraction."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        discarded(old, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("a").alias("rep"), F.col("b").alias("component"))
@@ -244,19 +283,26 @@ class _Search:
         members = members.distinct()
         ids = members.select(F.col("rep").alias("doc_id")).distinct()
         found = written(within(raw_text(self.docs), ids).mapInArrow(tidied(_exploded(self.words)), SHINGLE).distinct(), "shingles")
-        counts = found.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        counts = written(found.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "counts")
         common = found.join(counts, "shingle").join(members, "rep")
         by = Window.partitionBy("rep")
         rank = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "shingle"))
         prefix = F.col("n") - F.expr(f"(n * {self.percent} + 99) div 100") + 1
         kept = common.withColumn("rank", rank).where(F.col("rank") <= prefix).select("shingle", "rep", "n", "component", "rank")
-        several = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-        kept = written(kept.join(several, "shingle", "left_semi"), "prefixes")
-        other = kept.select("shingle", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("rank").alias("rank2"))
+        several = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("shingle", "size")
+        kept = written(kept.join(written(several, "several"), "shingle"), "prefixes")
+        few, many = kept.where(F.col("size") <= FEW), kept.where(F.col("size") > FEW)
+        other = few.select("shingle", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("rank").alias("rank2"))
         # What a pair has in common is not before its first common shingle in either set.
         enough = f"{100 + self.percent} * (1 + least(n - rank, m - rank2)) >= {self.percent} * (n + m)"
-        pairs = kept.join(other, "shingle").where(enough).where(f"rep > b and component != c and 100 * least(n, m) >= {self.percent} * greatest(n, m)")
-        return pairs.select(F.col("rep").alias("a"), "b")
+        pairs = few.join(other, "shingle").where(enough).where(f"rep > b and component != c and 100 * least(n, m) >= {self.percent} * greatest(n, m)")
+        small_batches(self.docs.sparkSession)
+        blocks = F.ceil(F.col("size") / BLOCK)
+        dealt = many.join(self.reps.select("rep", "registers"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "component", "rank", "registers")
+        met = dealt.groupBy("shingle", "i", "j").applyInArrow(_blocks(self.percent), PAIR)
+        return pairs.select(F.col("rep").alias("a"), "b").union(met)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -268,21 +314,21 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     reps = written(classes, "classes")
     banded = reps.select("rep", "n", "registers").mapInArrow(_bands, BANDED)
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low != high").select("bucket", "size")
-    members = written(banded.join(shared, "bucket"), "members")
+    members = written(banded.join(written(shared, "shared"), "bucket"), "members")
     central = members.groupBy("rep").agg(F.sum("size").alias("met"))
     members = written(members.drop("size").join(central, "rep"), "members")
     pivot = F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot")
     search = _Search(docs, reps, words, percent)
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     # Round one: each member and the pivot that it shares most buckets with.
-    met = members.join(members.groupBy("bucket").agg(pivot), "bucket").where("rep != pivot").groupBy("rep", "pivot").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
+    met = members.join(written(members.groupBy("bucket").agg(pivot), "pivots"), "bucket").where("rep != pivot").groupBy("rep", "pivot").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
     tried = written(met.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "tried")
     links = search.verified(tried)
     labels = written(contracted(links), "labels")
     for turn in range(1, PIVOT_ROUNDS + 1):
         here = members.select("bucket", "rep", "n", "met").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_up = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("bucket", "pivot")
-        open_ = written(here.join(mixed_up, "bucket"), "open")
+        open_ = written(here.join(written(mixed_up, "mixed"), "bucket"), "open")
         if turn < PIVOT_ROUNDS:
             other = open_.where("rep = pivot").select("bucket", F.col("n").alias("m"), F.col("component").alias("c"))
             pairs = open_.join(other, "bucket").where(fits).where("component != c").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
