@@ -12,7 +12,7 @@ from tests.conftest import DATA
 from wardline.functions import scalars as X
 from wardline.operators import alerts, audit, events, health, inventory, radar, rates, rules, snapshots, tree
 from wardline.plans import host, queries
-from wardline.sources import readers
+from wardline.sources import binary, readers
 from wardline.streaming import stateful
 
 T0 = datetime(2024, 1, 1)
@@ -345,3 +345,22 @@ def test_devices_expire_and_keep_when_their_mac_changed(spark):
     found = {r.ip: (r.mac, r.first_seen, r.last_seen, r.mac_since) for r in inventory.devices(seen, F.lit(at(55)), 1800).collect()}
     assert found == {"a": ("m2", at(0), at(50), at(20)), "c": (None, at(40), at(45), at(40))}
     assert inventory.devices(seen.limit(0), F.lit(at(55))).count() == 0
+
+
+def test_short_and_empty_buffers(spark):
+    rows = [(1, b""), (2, None), (3, bytes(4)), (4, b"\x01\0\0\0" + bytes(11)), (5, b"\x01\0\0\0" + bytes([10, 0, 0, 1, 0, 53, 0, 0, 7, 0, 0, 0])), (6, b"\xff\xff\xff\xff" + bytes(40))]
+    df = spark.createDataFrame(rows, "id int, buf binary")
+    got = {r.id: r for r in binary.socket_rows(df, "UDP").collect()}
+    assert sorted(got) == [1, 2, 4, 5, 6] and all(got[k].error and got[k].pid is None for k in (1, 2, 4, 6))
+    assert (got[5].local_addr, got[5].local_port, got[5].pid, got[5].state, got[5].error) == ("10.0.0.1", 53, 7, "-", None)
+    assert {r.id for r in binary.neighbor_rows(df).collect() if r.error} == {1, 2, 4, 5, 6}
+    assert binary.inbound_syns(df.withColumnRenamed("buf", "packet")).count() == 0
+
+
+def test_upgrade_tables_that_do_not_fit(spark):
+    head = "Name       Id        Version  Available Source"
+    lines = ["Ünïcode α  A.One     1.0      2.0       winget", "A name far too long for it B.Two 1.0 < 2 winget", "A name far too long for it B.Three 1.0 1.1 msstore", "Same       C.Four    3        3         winget", "Odd        D.Five    Unknown  4.1       winget", "Bad        -x        1        2         winget", "Else       E.Six     1        2         other"]
+    texts = ["\n".join([head, "-" * 12, *lines, "2 upgrades available."]), "nothing here", "", None, "Name Id\n----------\na b", head.replace(" Source", "") + "\n" + "-" * 10 + "\nApp        F.Seven   1        2", "-" * 20]
+    got = readers.table_upgrades(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect()
+    assert sorted((r.k, r.name, r.id, r.version, r.available, r.source) for r in got) == [(0, "A name far too long for it", "B.Three", "1.0", "1.1", "msstore"), (0, "Odd", "D.Five", "Unknown", "4.1", "winget"), (0, "Ünïcode α", "A.One", "1.0", "2.0", "winget"), (5, "App", "F.Seven", "1", "2", "")]
+    assert all(r.command.startswith(f"winget upgrade --id {r.id} --exact --silent") for r in got)

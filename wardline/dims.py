@@ -161,3 +161,19 @@ BRANDS = [
     ("ricoh", "Ricoh", "printer"), ("lg electronics", "LG", "tv"), ("sony interactive", "PlayStation", "console"), ("sony", "Sony", "tv"), ("nintendo", "Nintendo", "console"), ("roku", "Roku", "tv"),
     ("hisense", "Hisense", "tv"), ("tcl", "TCL", "tv"), ("vizio", "VIZIO", "tv"), ("panasonic", "Panasonic", "tv"), ("sharp", "Sharp", "tv"),
 ]
+UPGRADE_SOURCES = ["winget", "msstore"]
+UPGRADE_ARGUMENTS = ["--exact", "--silent", "--accept-package-agreements", "--accept-source-agreements", "--disable-interactivity"]
+MODEL_NAMES = {
+    "iPhone15,2": "iPhone 14 Pro",
+    "iPhone15,3": "iPhone 14 Pro Max",
+    "iPhone16,1": "iPhone 15 Pro",
+    "iPhone16,2": "iPhone 15 Pro Max",
+    "iPhone17,1": "iPhone 16 Pro",
+    "iPhone17,2": "iPhone 16 Pro Max",
+    "iPhone17,3": "iPhone 16",
+    "iPhone17,4": "iPhone 16 Plus",
+    "MacBookAir10,1": "MacBook Air (M1)",
+    "MacBookAir15,2": "MacBook Air (M3, 13-inch)",
+    "AppleTV11,1": "Apple TV 4K (2nd generation)",
+}
+NAME_SOURCES = ["netbios", "mdns", "ssdp", "dns"]

@@ -322,6 +322,24 @@ def mac_text(digits: Column) -> Column:
     return F.regexp_replace(digits, "(..)(?=.)", "$1-")
 
 
+def model_name(code: Column) -> Column:
+    """The product of an exact machine identifier; others stay as they are."""
+    names = F.create_map(*(F.lit(x) for pair in dims.MODEL_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, code), code)
+
+
+def preferred_name(names: Column) -> Column:
+    """struct<name, source> of the first source, in order of preference, that has a name in a map of names by source."""
+    found = F.filter(F.array(*(F.struct(F.try_element_at(names, F.lit(s)).alias("name"), F.lit(s).alias("source")) for s in dims.NAME_SOURCES)), lambda x: x["name"] != "")
+    return F.get(found, F.lit(0))
+
+
+def upgrade_command(id_: Column) -> Column:
+    """The command that upgrades a package without questions; null for what is no package id."""
+    tail = " ".join(dims.UPGRADE_ARGUMENTS)
+    return F.when(package_id(id_), F.concat(F.lit("winget upgrade --id "), id_, F.lit(" " + tail)))
+
+
 def listen_key(proto: Column, port: Column) -> Column:
     return F.concat_ws(":", proto, port.cast("string"))
 

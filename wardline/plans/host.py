@@ -9,6 +9,7 @@ from wardline import dims
 from wardline.functions import scalars as X
 from wardline.operators import alerts, audit, events, inventory, radar, rates, rules, snapshots, tree
 from wardline.plans.queries import DAY, OBS, QUERIES, SQL, observations, query, table
+from wardline.sources import binary, readers
 
 PORT = """CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER)"""
 SOCKETS = {
@@ -410,4 +411,85 @@ def code_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.interface_kind(pick(6, 71, 24, 99)).alias("kind"), X.tcp_state(pick(2, 5, 12, 77)).alias("state"), X.short_list(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), k.cast("int")), 2).alias("list"))
 
 
+
+def _le(c):
+    """Four bytes of a number, little-endian, in hexadecimal."""
+    big = F.lpad(F.hex(c.cast("long")), 8, "0")
+    return F.concat(*(F.substring(big, k, 2) for k in (7, 5, 3, 1)))
+
+
+def _be(c, size: int):
+    return F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+
+
+STATES = "[" + ", ".join(f"'{dims.TCP_STATES[k]}'" for k in range(1, 13)) + "]"
+
+
+@query(f"""SELECT p_partkey, CAST(r AS INTEGER) AS row, coalesce({STATES}[(p_partkey + r) % 14], 'UNKNOWN') AS state, '10.0.' || p_partkey % 256 || '.' || r AS local_addr, (p_partkey * 7 + r) % 65536 AS local_port,
+CASE WHEN (p_partkey + r) % 14 = 2 THEN '' ELSE '192.168.' || r || '.' || p_partkey % 256 END AS remote_addr, CASE WHEN (p_partkey + r) % 14 = 2 THEN 0 ELSE 443 + r END AS remote_port, p_partkey AS pid, NULL AS error
+FROM (SELECT p_partkey, unnest(range(p_partkey % 3)) AS r FROM part WHERE p_partkey % 10 <> 9 OR p_partkey % 3 = 0)
+UNION ALL SELECT p_partkey, 0, NULL, NULL, -1, NULL, -1, -1, 'table buffer truncated' FROM part WHERE p_partkey % 10 = 9 AND p_partkey % 3 > 0""")
+def socket_table_rows(spark, sf_dir):
+    k = F.col("p_partkey")
+    row = lambda r: F.concat(_le((k + r) % 14), F.lit("0A00"), _be(k % 256, 1), _be(r, 1), _be((k * 7 + r) % 65536, 2), F.lit("0000C0A8"), _be(r, 1), _be(k % 256, 1), _be(443 + r, 2), F.lit("0000"), _le(k))
+    rows = F.array_join(F.when(k % 3 > 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 3 - 1), row)).otherwise(F.array().cast("array<string>")), "")
+    whole = F.concat(_le(k % 3), rows)
+    cut = F.when((k % 10 == 9) & (k % 3 > 0), F.substr(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole)
+    b = table(spark, sf_dir, "part").select("p_partkey", F.unhex(cut).alias("buf"))
+    return binary.socket_rows(b, "TCP").drop("proto").na.fill(-1)
+
+
+ADDRESSES = [("0" * 32, "::"), ("0" * 31 + "1", "::1"), ("20010DB8" + "0" * 16 + "00010000", "2001:db8::1:0"), ("FE80" + "0" * 12 + "0000000100020003", "fe80::1:2:3"), ("0001" + "0" * 12 + "0002" + "0" * 12, "1::2:0:0:0"), ("0" * 20 + "FFFF0A000001", "::ffff:10.0.0.1"), ("00010000000200000003000000040000", "1:0:2:0:3:0:4:0"), ("0" * 8 + "0001" + "0" * 4 + "0002" + "0" * 12, "0:0:1:0:2::"), ("20010DB800000000ABCD00000000000F", "2001:db8::abcd:0:0:f")]
+
+
+@query(f"SELECT s_suppkey, 0 AS row, 'UDP6' AS proto, '-' AS state, [{', '.join(repr(t) for _, t in ADDRESSES)}][s_suppkey % {len(ADDRESSES)} + 1] AS local_addr, s_suppkey % 65536 AS local_port, '' AS remote_addr, 0 AS remote_port, s_suppkey * 3 AS pid, NULL AS error FROM supplier")
+def address_texts(spark, sf_dir):
+    k = F.col("s_suppkey")
+    address = F.element_at(F.array(*(F.lit(h) for h, _ in ADDRESSES)), (k % len(ADDRESSES) + 1).cast("int"))
+    b = table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(F.concat(F.lit("01000000"), address, F.lit("00000000"), _be(k % 65536, 2), F.lit("0000"), _le(k * 3))).alias("buf"))
+    return binary.socket_rows(b, "UDP6")
+
+
+@query("""SELECT p_partkey, 0 AS row, '10.9.0.' || p_partkey % 256 AS ip, CASE p_partkey % 7 WHEN 5 THEN 'AA-BB' ELSE 'AA-BB-CC-00-00-' || right('0' || hex(p_partkey % 256), 2) END AS mac, p_partkey % 20 AS if_index,
+CASE p_partkey % 6 WHEN 3 THEN 'dynamic' WHEN 4 THEN 'static' ELSE 'other' END AS type, NULL AS error FROM part WHERE p_partkey % 6 <> 2 AND p_partkey % 7 NOT IN (0, 6)""")
+def neighbor_table(spark, sf_dir):
+    k = F.col("p_partkey")
+    size = F.when(k % 7 == 0, 0).when(k % 7 == 5, 2).otherwise(6)
+    mac = F.when(k % 7 == 6, "0" * 12).otherwise(F.concat(F.lit("AABBCC0000"), _be(k % 256, 1)))
+    row = F.concat(_le(k % 20), _le(size), mac, F.lit("00000A0900"), _be(k % 256, 1), _le(k % 6))
+    return binary.neighbor_rows(table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.concat(F.lit("01000000"), row)).alias("buf")))
+
+
+@query("""SELECT event_id, '10.1.' || user_id % 256 || '.1' AS src, event_id % 65536 AS src_port, '10.0.0.1' AS dst, user_id % 1024 AS dst_port FROM events WHERE event_id % 8 < 2 AND event_id % 5 <> 4 AND event_id % 9 <> 8 AND event_id % 11 <> 10""")
+def syn_packets(spark, sf_dir):
+    k, u = F.col("event_id"), F.col("user_id")
+    flags = F.element_at(F.array(*map(F.lit, ["02", "C2", "12", "06", "10", "00", "01", "16"])), (k % 8 + 1).cast("int"))
+    options = F.when(k % 2 == 0, "").otherwise("0" * 8)
+    ip = F.concat(F.when(k % 2 == 0, "45").otherwise("46"), F.lit("0000280000"), F.when(k % 9 == 8, "0001").otherwise("4000"), F.lit("40"), F.when(k % 5 == 4, "11").otherwise("06"), F.lit("00000A01"), _be(u % 256, 1), F.lit("010A0000"), F.when(k % 11 == 10, "02").otherwise("01"), options)
+    tcp = F.concat(_be(k % 65536, 2), _be(u % 1024, 2), F.lit("0" * 16 + "50"), flags)
+    p = table(spark, sf_dir, "events").select("event_id", F.unhex(F.concat(ip, tcp)).alias("packet"))
+    return binary.inbound_syns(p, F.lit("10.0.0.1"))
+
+
+@query("""SELECT p_partkey, p_name AS name, 'Vendor.P' || p_partkey AS id, '1.' || p_partkey % 5 AS version, '1.' || p_partkey % 3 AS available, 'winget' AS source,
+'winget upgrade --id Vendor.P' || p_partkey || ' --exact --silent --accept-package-agreements --accept-source-agreements --disable-interactivity' AS command FROM part WHERE p_partkey % 5 <> p_partkey % 3""")
+def upgrade_tables(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    pad = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(n - F.length(c), F.lit(1))))
+    line = lambda *c: F.concat(*(pad(x, n) for x, n in zip(c[:4], (14, 24, 9, 11), strict=True)), c[4])
+    head = line(*map(F.lit, ("Name", "Id", "Version", "Available", "Source")))
+    own = line(F.col("p_name"), F.concat(F.lit("Vendor.P"), k), F.concat(F.lit("1."), (F.col("p_partkey") % 5).cast("string")), F.concat(F.lit("1."), (F.col("p_partkey") % 3).cast("string")), F.lit("winget"))
+    text = F.concat_ws("\r\n", F.lit("  - \r  \\ \r"), F.lit("████ 1 MB"), head, F.repeat(F.lit("-"), F.lit(60)), own, F.lit(""), F.lit("1 upgrades available."))
+    return readers.table_upgrades(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'iPhone 14 Pro' WHEN 1 THEN 'Apple TV 4K (2nd generation)' ELSE 'iPhone15,9' END AS model, CASE WHEN s_suppkey % 4 = 0 THEN s_name WHEN s_suppkey % 5 = 0 THEN 'tv' || s_nationkey WHEN s_suppkey % 7 <> 0 THEN 'host' || s_suppkey END AS name,
+CASE WHEN s_suppkey % 4 = 0 THEN 'netbios' WHEN s_suppkey % 5 = 0 THEN 'ssdp' WHEN s_suppkey % 7 <> 0 THEN 'dns' END AS source FROM supplier""")
+def device_names(spark, sf_dir):
+    k = F.col("s_suppkey")
+    code = F.when(k % 3 == 0, "iPhone15,2").when(k % 3 == 1, "AppleTV11,1").otherwise("iPhone15,9")
+    names = F.create_map(F.lit("dns"), F.when(k % 7 != 0, F.concat(F.lit("host"), k.cast("string"))), F.lit("ssdp"), F.when(k % 5 == 0, F.concat(F.lit("tv"), F.col("s_nationkey").cast("string"))).otherwise(""), F.lit("netbios"), F.when(k % 4 == 0, F.col("s_name")))
+    return table(spark, sf_dir, "supplier").withColumn("p", X.preferred_name(names)).select("s_suppkey", X.model_name(code).alias("model"), "p.name", "p.source")
+
+
 assert QUERIES and SQL

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline import dims
+from wardline.functions import scalars as X
+
 EVENT_XML = "System STRUCT<Provider: STRUCT<_Name: STRING>, EventID: STRING, Level: INT, EventRecordID: BIGINT, Channel: STRING, Computer: STRING, TimeCreated: STRUCT<_SystemTime: STRING>>, EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
 JOURNAL = "__REALTIME_TIMESTAMP STRING, PRIORITY STRING, SYSLOG_IDENTIFIER STRING, _SYSTEMD_UNIT STRING, _TRANSPORT STRING, _PID STRING, MESSAGE STRING"
 
@@ -68,3 +71,43 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
 def apt_upgrades(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"^([^/\s]+)/\S+ (\S+) \S+ \[upgradable from: ([^\]]+)\]"
     return spark.read.text(path).where(F.col("value").rlike(pattern)).select(*(F.regexp_extract("value", pattern, k).alias(n) for k, n in ((1, "name"), (2, "available"), (3, "current"))))
+
+
+def _versionlike(text: Column) -> Column:
+    return (text != "") & ~text.rlike(r"[ \t]") & ((F.lower(text) == "unknown") | text.rlike("[0-9]"))
+
+
+def _upgrade(name: Column, id_: Column, version: Column, available: Column, source: Column) -> Column:
+    return F.struct(name.alias("name"), id_.alias("id"), version.alias("version"), available.alias("available"), source.alias("source"))
+
+
+def table_upgrades(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of the fixed-width upgrade tables in ``text``, one whole output each, with its other columns. The words of the line above the dashes say where
+    columns begin, counted in characters: name, id, version, available and, if there is a fifth, source. A row that doesn't fit them is
+    split at blanks from its right; one that still doesn't, or brings no other version, is left out, as are tables of fewer columns."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    shown = F.transform(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"(?s)^.*\r", "")))
+    lines = F.filter(shown, lambda x: ~trim(x).rlike(r"^[-\\|/]?$") & ~x.rlike("[█▒]"))
+    at = F.array_position(F.transform(F.col("_lines"), lambda x: trim(x).rlike("^-{10,}$")), True)
+    head = F.get("_lines", (F.col("_at") - 2).cast("int"))
+    starts = F.filter(F.sequence(F.lit(1), F.length("_head")), lambda i: (F.substr(F.col("_head"), i, F.lit(1)) != " ") & ((i == 1) | (F.substr(F.col("_head"), i - 1, F.lit(1)) == " ")))
+    t = texts.withColumn("_lines", lines).withColumn("_at", at).where("_at > 1").withColumn("_head", head).withColumn("_s", starts).where("size(_s) >= 4")
+    rows = t.withColumn("_l", F.explode(F.slice("_lines", (F.col("_at") + 1).cast("int"), F.size("_lines")))).where("length(_l) >= _s[3] - 1")
+    line, sourced = F.col("_l"), F.size("_s") > 4
+
+    def cell(k: int) -> Column:
+        begin, end = F.get("_s", F.lit(k)), F.coalesce(F.get("_s", F.lit(k + 1)), F.lit(1 << 30))
+        return F.coalesce(trim(F.substr(line, begin, end - begin)), F.lit(""))
+
+    def valid(u: Column) -> Column:
+        return X.package_id(u["id"]) & _versionlike(u["version"]) & _versionlike(u["available"]) & (~sourced | F.lower(u["source"]).isin(dims.UPGRADE_SOURCES))
+
+    f = F.split(trim(line), r"\s+")
+    n = F.size(f) - sourced.cast("int")
+    word = lambda k: F.coalesce(F.get(f, n - k), F.lit(""))
+    placed = _upgrade(*map(cell, range(5)))
+    split = _upgrade(F.array_join(F.slice(f, 1, F.greatest(n - 3, F.lit(0))), " "), word(3), word(2), word(1), F.when(sourced, F.element_at(f, -1)).otherwise(F.lit("")))
+    rows = rows.withColumn("_a", placed).withColumn("_b", split)
+    u = F.when(valid(F.col("_a")), F.col("_a")).when((n >= 4) & valid(F.col("_b")), F.col("_b"))
+    out = rows.withColumn("_u", u).where("_u is not null and _u.available != _u.version")
+    return out.select(*texts.drop(text).columns, "_u.*").withColumn("command", X.upgrade_command(F.col("id")))
