@@ -287,16 +287,22 @@ def _scan(names: list[str], raw: str, out: str, shared=None, found: str | None =
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the struct ``out``: n_words, the hit ranges of words (from, to, from, to, ...) and the items found."""
+def _followed(first, then):
+    """Both functions of mapInArrow in one worker."""
+    return tidied(lambda batches: then(first(batches))) if then else tidied(first)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW, limit: int = BLOCK_BYTES, then=None) -> DataFrame:
+    """``docs`` with the struct ``out``: n_words, the hit ranges of words (from, to, from, to, ...) and the items found. Or what ``then``, a
+    function of mapInArrow, makes of that in the same workers, with the columns of ``docs``."""
     spark, raw, key = docs.sparkSession, free_name(docs, "raw"), free_name(docs, "key")
-    schema = extended(docs, [T.StructField(out, HITS)])
+    schema = extended(docs, [] if then else [T.StructField(out, HITS)])
     texts = docs.withColumn(raw, F.col("text").cast("binary"))
     made = automata(benchmark, window, limit)
     first, second = next(made), next(made, None)
     if second is None:
         shared = spark.sparkContext.broadcast(first)
-        return texts.mapInArrow(tidied(_scan(docs.columns, raw, out, shared)), schema)
+        return texts.mapInArrow(_followed(_scan(docs.columns, raw, out, shared), then), schema)
     # Rows are known by doc_id and text: copies of one text part, and rows that repeat both have the same hits.
     named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary")))
     tables, keyed = [], docs.select(named.alias("key"), F.col("text").cast("binary").alias("text")).where("text is not null")
@@ -310,7 +316,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW,
     size = once.agg(F.count("*"), F.coalesce(F.sum(F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + F.size(x["spans"]) + F.size(x["items"]))), F.lit(0))).first()
     discarded(*tables)
     joined = attached(texts.withColumn(key, named), once, key + "2", 100 * size[0] + 32 * size[1], by=key)
-    return joined.mapInArrow(tidied(_scan(docs.columns, raw, out, found=found)), schema)
+    return joined.mapInArrow(_followed(_scan(docs.columns, raw, out, found=found), then), schema)
 
 
 def _chain(first, second, rest):
@@ -361,5 +367,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .line_dedup import with_length
 
     out = free_name(docs, "hits")
-    found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out)
-    return with_length(found.mapInArrow(tidied(_cut(docs.columns, out, COVER)), docs.schema)).select(*docs.columns)
+    kept = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out, then=_cut(docs.columns, out, COVER))
+    return with_length(kept).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, joined, small_batches, tidied, written
+from .common import batch_of, joined, released, small_batches, tidied, written
 from .word_bpe import WordBpe, spread
 
 TOKENS, END = 4096, 1
@@ -142,7 +142,9 @@ def _pieces(path: str, tokens: int, end: int):
         return batch_of(PIECE, [docs.take(pa.array(np.repeat(np.arange(len(count)), parts))), piece, at, length, crc])
 
     def run(batches):
+        released()
         words = Words(path)
+        released()  # what reading the vocabulary took
         for batch in joined(batches, PART):
             docs, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             yield cut_up(words, docs, texts.fill_null(b""))
