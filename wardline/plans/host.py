@@ -23,7 +23,7 @@ SOCKETS = {
     "pid": "user_id % 9",
     "process_name": "CASE user_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Chrome.exe' WHEN 2 THEN 'sshd' ELSE 'svc' || CAST(user_id % 9 AS STRING) END",
 }
-PROCESSES = {"ts": "ts", "pid": "event_id", "name": "CASE event_type WHEN 'error' THEN 'Alpha.EXE' WHEN 'click' THEN 'alpha.exe' ELSE event_type END", "cpu": "round(value / 5)", "working_set": f"CAST({PORT} * 1048576 AS BIGINT)", "threads": "CAST(value AS INTEGER) % 40", "access": "user_id % 7 <> 0"}
+PROCESSES = {"ts": "ts", "pid": "event_id", "name": "CASE event_type WHEN 'error' THEN 'Alpha.EXE' WHEN 'click' THEN 'alpha.exe' ELSE event_type END", "cpu": "round(value / 5)", "working_set": f"CAST({PORT} * 1048576 AS BIGINT)", "threads": "CAST(floor(value) AS INTEGER) % 40", "access": "user_id % 7 <> 0"}
 SERVICES = {"name": "s_name", "state": "CASE s_nationkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'stopped' ELSE 'paused' END", "start_type": "CASE s_suppkey % 5 WHEN 0 THEN 'disabled' WHEN 1 THEN 'manual' WHEN 2 THEN 'auto-delayed' ELSE 'auto' END", "exit_code": "CASE s_suppkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 1077 ELSE 5 END", "pid": "s_suppkey % 6"}
 INTERFACES = {"name": "s_name", "kind": "CASE s_nationkey % 4 WHEN 0 THEN 'loopback' WHEN 1 THEN 'wifi' ELSE 'ethernet' END", "up": "s_suppkey % 3 <> 0", "physical": "s_suppkey % 2 = 0", "in_bps": "round(abs(s_acctbal))", "out_bps": "CAST(s_suppkey AS DOUBLE)"}
 LOGONS = {
