@@ -364,3 +364,20 @@ def test_upgrade_tables_that_do_not_fit(spark):
     got = readers.table_upgrades(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect()
     assert sorted((r.k, r.name, r.id, r.version, r.available, r.source) for r in got) == [(0, "A name far too long for it", "B.Three", "1.0", "1.1", "msstore"), (0, "Odd", "D.Five", "Unknown", "4.1", "winget"), (0, "Ünïcode α", "A.One", "1.0", "2.0", "winget"), (5, "App", "F.Seven", "1", "2", "")]
     assert all(r.command.startswith(f"winget upgrade --id {r.id} --exact --silent") for r in got)
+
+
+def test_upgrade_tables_read_their_lines_once(spark):
+    texts = spark.createDataFrame([(1, "Name  Id  Version  Available\n----------\nApp   A.One 1    2")], "k int, text string")
+    plan = readers.table_upgrades(texts.select("k", F.concat_ws("", F.lit("\r"), "text").alias("text"))).where("k > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 1, plan.count("replace(")
+
+
+def test_upgrade_columns_begin_at_words(spark):
+    heads = ["Name Id Version Available Source", "  a  b\tc   Ünï 😀 e f g h", "a", "a  b ", "x" * 3000 + " " * 3000 + "y z", ""]
+    begin = lambda h: [i + 1 for i in range(len(h)) if h[i] != " " and (i == 0 or h[i - 1] == " ")][:6]
+    got = spark.createDataFrame(list(enumerate(heads)), "k int, h string").select("k", readers._starts(F.col("h")).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: begin(h) for k, h in enumerate(heads)}
+    wide = "Name" + " " * 5000 + "Id" + " " * 5000 + "Version Available Source Other More"
+    row = "App".ljust(5004) + "A.One".ljust(5002) + "1.0     2.0       winget what else"
+    u = readers.table_upgrades(spark.createDataFrame([(wide + "\n" + "-" * 10 + "\n" + row,)], "text string")).collect()
+    assert [tuple(r)[:5] for r in u] == [("App", "A.One", "1.0", "2.0", "winget")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,33 +83,55 @@ def _upgrade(name: Column, id_: Column, version: Column, available: Column, sour
     return F.struct(name.alias("name"), id_.alias("id"), version.alias("version"), available.alias("available"), source.alias("source"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(head: Column) -> Column:
+    """Where the words of ``head`` begin, counted from 1: the first six, which bound five columns."""
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+    new = lambda a, w: (w != "") & (F.size(a["found"]) < 6)
+    step = lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.when(new(a, w), F.array_append(a["found"], a["at"])).otherwise(a["found"]).alias("found"))
+    return F.aggregate(F.split(head, " "), zero, step, lambda a: a["found"])
+
+
 def table_upgrades(texts: DataFrame, text: str = "text") -> DataFrame:
     """Rows of the fixed-width upgrade tables in ``text``, one whole output each, with its other columns. The words of the line above the dashes say where
     columns begin, counted in characters: name, id, version, available and, if there is a fifth, source. A row that doesn't fit them is
-    split at blanks from its right; one that still doesn't, or brings no other version, is left out, as are tables of fewer columns."""
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    shown = F.transform(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"(?s)^.*\r", "")))
+    split at blanks from its right; one that still doesn't, or brings no other version, is left out, as are tables of fewer columns.
+    All is one expression of bound values: as columns with filters between, the optimizer would repeat the lines for each character of the heading."""
+    trim = lambda c: F.trim(c, F.lit(" \t\n\v\f\r"))
+    shown = F.transform(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.rtrim(F.substring_index(x, "\r", -1)))
     lines = F.filter(shown, lambda x: ~trim(x).rlike(r"^[-\\|/]?$") & ~x.rlike("[█▒]"))
-    at = F.array_position(F.transform(F.col("_lines"), lambda x: trim(x).rlike("^-{10,}$")), True)
-    head = F.get("_lines", (F.col("_at") - 2).cast("int"))
-    starts = F.filter(F.sequence(F.lit(1), F.length("_head")), lambda i: (F.substr(F.col("_head"), i, F.lit(1)) != " ") & ((i == 1) | (F.substr(F.col("_head"), i - 1, F.lit(1)) == " ")))
-    t = texts.withColumn("_lines", lines).withColumn("_at", at).where("_at > 1").withColumn("_head", head).withColumn("_s", starts).where("size(_s) >= 4")
-    rows = t.withColumn("_l", F.explode(F.slice("_lines", (F.col("_at") + 1).cast("int"), F.size("_lines")))).where("length(_l) >= _s[3] - 1")
-    line, sourced = F.col("_l"), F.size("_s") > 4
-
-    def cell(k: int) -> Column:
-        begin, end = F.get("_s", F.lit(k)), F.coalesce(F.get("_s", F.lit(k + 1)), F.lit(1 << 30))
-        return F.coalesce(trim(F.substr(line, begin, end - begin)), F.lit(""))
-
-    def valid(u: Column) -> Column:
-        return X.package_id(u["id"]) & _versionlike(u["version"]) & _versionlike(u["available"]) & (~sourced | F.lower(u["source"]).isin(dims.UPGRADE_SOURCES))
-
-    f = F.split(trim(line), r"\s+")
-    n = F.size(f) - sourced.cast("int")
-    word = lambda k: F.coalesce(F.get(f, n - k), F.lit(""))
-    placed = _upgrade(*map(cell, range(5)))
-    split = _upgrade(F.array_join(F.slice(f, 1, F.greatest(n - 3, F.lit(0))), " "), word(3), word(2), word(1), F.when(sourced, F.element_at(f, -1)).otherwise(F.lit("")))
-    rows = rows.withColumn("_a", placed).withColumn("_b", split)
-    u = F.when(valid(F.col("_a")), F.col("_a")).when((n >= 4) & valid(F.col("_b")), F.col("_b"))
-    out = rows.withColumn("_u", u).where("_u is not null and _u.available != _u.version")
-    return out.select(*texts.drop(text).columns, "_u.*").withColumn("command", X.upgrade_command(F.col("id")))
+
+    def parsed(line: Column, s: Column) -> Column:
+        sourced = F.size(s) > 4
+
+        def cell(k: int) -> Column:
+            begin, end = F.get(s, F.lit(k)), F.coalesce(F.get(s, F.lit(k + 1)), F.lit(1 << 30))
+            return F.coalesce(trim(F.substr(line, begin, end - begin)), F.lit(""))
+
+        def valid(u: Column) -> Column:
+            return X.package_id(u["id"]) & _versionlike(u["version"]) & _versionlike(u["available"]) & (~sourced | F.lower(u["source"]).isin(dims.UPGRADE_SOURCES))
+
+        def split(f: Column) -> Column:
+            n = F.size(f) - sourced.cast("int")
+            word = lambda k: F.coalesce(F.get(f, n - k), F.lit(""))
+            u = _upgrade(F.array_join(F.slice(f, 1, F.greatest(n - 3, F.lit(0))), " "), word(3), word(2), word(1), F.when(sourced, F.element_at(f, -1)).otherwise(F.lit("")))
+            return F.when(n >= 4, _bound(u, lambda b: F.when(valid(b), b)))
+
+        return _bound(_upgrade(*map(cell, range(5))), lambda a: F.when(valid(a), a).otherwise(_bound(F.split(trim(line), r"\s+"), split)))
+
+    def below(lines: Column, at: Column, s: Column) -> Column:
+        rows = F.filter(F.slice(lines, (at + 1).cast("int"), F.size(lines)), lambda x: F.length(x) >= F.get(s, F.lit(3)) - 1)
+        return F.filter(F.transform(rows, lambda x: parsed(x, s)), lambda u: u["available"] != u["version"])
+
+    def table(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda x: trim(x).rlike("^-{10,}$")), True)
+        head = lambda at: F.get(lines, (at - 2).cast("int"))
+        return _bound(at, lambda at: F.when(at > 1, _bound(_starts(head(at)), lambda s: F.when(F.size(s) >= 4, below(lines, at, s)))))
+
+    others = texts.drop(text).columns
+    out = texts.select(*others, F.explode(_bound(lines, table)).alias("_u"))
+    return out.select(*others, "_u.*").withColumn("command", X.upgrade_command(F.col("id")))
